@@ -30,7 +30,9 @@ log = logging.getLogger(__name__)
 
 FOREST, BOOSTED, LOGISTIC = "Random Forest", "Boosted Trees", "Logistic Regression"
 
-# Search spaces, settings drawn per model, iterations.
+# Search spaces, settings drawn per model, iterations and tolerance.
+# A forest without depth limit becomes one of depth 15; a minimum size for splitting a
+# node has no counterpart in Spark and is left out.
 SEARCH_SPACES = {
     FOREST: {
         "numTrees": [100, 200, 300],
@@ -48,6 +50,7 @@ SEARCH_SPACES = {
 }
 DRAWS = {FOREST: 10, BOOSTED: 10, LOGISTIC: 6}
 LOGISTIC_ITERATIONS = 1000
+LOGISTIC_TOLERANCE = 1e-4
 
 
 def drawn_settings(space: dict[str, list], draws: int, seed: int = SEED) -> list[dict]:
@@ -66,6 +69,7 @@ def estimator_for(name: str, weighted: bool = False, seed: int = SEED):
     return LogisticRegression(
         labelCol="label",
         maxIter=LOGISTIC_ITERATIONS,
+        tol=LOGISTIC_TOLERANCE,
         elasticNetParam=0.0,
         standardization=False,
         **weight,

@@ -523,7 +523,7 @@ put(
 DOCUMENTS = """
 d AS (
   SELECT d.doc_id, 1 - quality AS bad, length(text)::DOUBLE AS n_chars,
-         len(list_filter(regexp_split_to_array(text, '[ \\n]'), w -> w <> ''))::DOUBLE AS words,
+         len(list_filter(regexp_split_to_array(text, '[ \\n]'), lambda w: w <> ''))::DOUBLE AS words,
          len(string_split(text, chr(10)))::DOUBLE AS lines
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 )"""
