@@ -91,13 +91,16 @@ def stored_encoder(df: DataFrame, names: list[str]) -> DataFrame:
     return write_table(fit_encoder(df, names), "encoder")
 
 
-def prepare(df: DataFrame, roles: Roles, encoder: DataFrame, entity: str | None = None) -> DataFrame:
-    """Numeric copy: strict target, label codes, dropped columns gone but the entity kept."""
-    kept = df.withColumn("_entity", quoted(entity)) if entity else df
-    dropped = drop_columns(kept)
-    coded = apply_encoder(dropped, encoder, categorical_features(df, roles.target))
+def prepare(df: DataFrame, roles: Roles, encoder: DataFrame) -> DataFrame:
+    """Numeric copy: strict target, label codes, dropped columns gone.
+
+    The row as it was stays in the struct column ``raw`` and its id in ``entity``, so
+    that reports need no join to get back to it; unused, both are pruned.
+    """
+    kept = df.withColumn("raw", F.struct(*[quoted(c) for c in df.columns]))
+    if roles.id:
+        kept = kept.withColumn("entity", quoted(roles.id))
+    coded = apply_encoder(drop_columns(kept), encoder, categorical_features(df, roles.target))
     if roles.target:
-        coded = coded.withColumn(
-            roles.target, strict_target(coded, roles.target)
-        )
-    return coded.withColumnRenamed("_entity", "entity") if entity else coded
+        coded = coded.withColumn(roles.target, strict_target(coded, roles.target))
+    return coded

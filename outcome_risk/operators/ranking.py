@@ -154,13 +154,14 @@ def running_totals(
     can use the same cells. The window sees one small cell at a time; the totals of the
     cells above come from a table of at most (coarse cells x fine cells) rows per group.
     """
+    # One row per coarse cell: at most 355 per group for scores in 0..1.
     bounds = (
         df.groupBy(*keys, coarse_bucket(F.col(value)).alias("coarse"))
         .agg(F.min(value).alias("low"), F.max(value).alias("high"))
     )
     celled = (
         df.withColumn("coarse", coarse_bucket(F.col(value)))
-        .join(bounds, [*keys, "coarse"])
+        .join(F.broadcast(bounds), [*keys, "coarse"])
         .withColumn("fine", fine_bucket(F.col(value), F.col("low"), F.col("high"), fine_cells))
         .drop("low", "high")
     )

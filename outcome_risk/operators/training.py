@@ -5,18 +5,19 @@ from __future__ import annotations
 import itertools
 import logging
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outcome_risk.functions.values import number
 from outcome_risk.operators.balance import smote
 from outcome_risk.operators.evaluate import evaluate, select_best
+from outcome_risk.operators.profile import fill_values
 from outcome_risk.operators.splitting import (
     FOLDS,
     SEED,
@@ -91,69 +92,68 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
-def f1_evaluator() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(
-        labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0
-    )
+def f1_score(predicted: DataFrame) -> float:
+    """F1 of the positive class from ``label, prediction``; 0 when undefined."""
+    actual, said = F.col("label") == 1, F.col("prediction") == 1.0
+    hits, misses = F.count_if(actual & said), F.count_if(actual != said)
+    score = F.coalesce(F.try_divide(hits * 2.0, hits * 2.0 + misses), F.lit(0.0))
+    return predicted.agg(score.alias("f1")).first()["f1"]
 
 
 def random_search_cv(
     name: str,
-    train: DataFrame,
+    folds: list[tuple[DataFrame, DataFrame]],
+    whole: DataFrame,
     settings: list[dict],
     weighted: bool = False,
-    folds: int = FOLDS,
     parallelism: int = 4,
     seed: int = SEED,
 ):
-    """Fit every setting on stratified folds, score F1, refit the best on all rows.
+    """Fit every setting on each fold, take the best mean F1, refit it on all rows.
 
-    ``train`` has ``features, label, fold`` (and ``weight``). Returns the fitted model
-    and the mean scores in the order of the settings.
+    ``folds`` holds (training, validation) pairs with ``features, label`` (and
+    ``weight``). Returns the model and the mean scores in the order of the settings.
     """
     estimator = estimator_for(name, weighted, seed)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=param_maps(estimator, settings, train.count()),
-        evaluator=f1_evaluator(),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = search.fit(train)
-    return fitted.bestModel, list(fitted.avgMetrics)
-
-
-def search_inside_folds(
-    name: str,
-    folded: DataFrame,
-    features: list[str],
-    settings: list[dict],
-    weight: float | None = None,
-    folds: int = FOLDS,
-    seed: int = SEED,
-):
-    """The same search with oversampling inside each fold, so no synthetic row leaks."""
-    estimator = estimator_for(name, weight is not None, seed)
-    evaluator = f1_evaluator()
     totals = [0.0] * len(settings)
-    for fold in range(folds):
-        inner = smote(folded.filter(F.col("fold") != fold), "label", "entity", features, seed)
-        inner = write_table(_learnable(inner, features, weight), "fold")
-        outer = assemble(folded.filter(F.col("fold") == fold), features)
+    for inner, outer in folds:
         maps = param_maps(estimator, settings, inner.count())
-        for i, model in estimator.fitMultiple(inner, maps):
-            totals[i] += evaluator.evaluate(model.transform(outer)) / folds
+
+        def run(params: dict) -> float:
+            return f1_score(estimator.fit(inner, params).transform(outer))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            for i, score in enumerate(pool.map(run, maps)):
+                totals[i] += score / len(folds)
     best = max(range(len(settings)), key=lambda i: totals[i])
-    everything = write_table(
-        _learnable(smote(folded, "label", "entity", features, seed), features, weight), "balanced"
-    )
-    maps = param_maps(estimator, [settings[best]], everything.count())
-    return estimator.fit(everything, maps[0]), totals
+    params = param_maps(estimator, [settings[best]], whole.count())[0]
+    return estimator.fit(whole, params), totals
+
+
+def fold_pairs(folded: DataFrame, folds: int = FOLDS) -> list[tuple[DataFrame, DataFrame]]:
+    """Training and validation rows of every fold."""
+    return [
+        (folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)) for i in range(folds)
+    ]
+
+
+def balanced_pairs(
+    folded: DataFrame, features: list[str], weight: float | None, seed: int = SEED
+) -> list[tuple[DataFrame, DataFrame]]:
+    """The same, with oversampling inside each training part, so nothing leaks."""
+    pairs = []
+    for inner, outer in fold_pairs(folded):
+        enlarged = smote(inner, "label", "entity", features, seed)
+        pairs.append(
+            (
+                write_table(learnable(enlarged, features, weight), "fold"),
+                learnable(outer, features, weight),
+            )
+        )
+    return pairs
 
 
-def _learnable(df: DataFrame, features: list[str], weight: float | None) -> DataFrame:
+def learnable(df: DataFrame, features: list[str], weight: float | None) -> DataFrame:
     """Assembled rows, positive ones weighted when a weight is given."""
     ready = assemble(df, features)
     if weight is None:
@@ -248,9 +248,6 @@ class Training:
 
 def check_features(df: DataFrame, features: list[str], on_null: str = "error") -> DataFrame:
     """Cast features to double; missing values raise, or become the column's median."""
-    from outcome_risk.functions.values import number
-    from outcome_risk.operators.profile import fill_values
-
     ready = df.withColumns({f: number(df, f) for f in features})
     if on_null == "median":
         medians = {r["feature"]: r["median"] for r in fill_values(ready, features, []).collect()}
@@ -287,9 +284,11 @@ def train(
     draws = draws or DRAWS
     status: dict[str, str] = {}
 
+    # Stored, as the split looks several times at the label and the id.
     ready = check_features(encoded, features, on_null).select(
         F.col(entity).alias("entity"), F.col(label).cast("int").alias("label"), *features
     )
+    ready = write_table(ready, "encoded")
     split = write_table(stratified_split(ready, "label", "entity", seed), "split")
     part = {s: split.filter(F.col("split") == s).drop("split") for s in ("train", "cal", "test")}
 
@@ -307,30 +306,27 @@ def train(
         ).otherwise(F.col("entity").cast("string")),
     )
     keyed = write_table(keyed, "balanced")
-    # CrossValidator compares foldCol with 0..folds-1 and wants an integer column.
-    folded = stratified_folds(keyed, "label", "key", seed=seed)
-    plain = write_table(assemble(folded, features), "folds")
-    if oversampled and not plain.filter("synthetic").head(1):
+    if oversampled and not keyed.filter("synthetic").head(1):
         status["balance"] = "not balanced"
+    if cv_balance == "inside" and oversampled:
+        folded = stratified_folds(part["train"], "label", "entity", seed=seed)
+    else:
+        folded = stratified_folds(keyed, "label", "key", seed=seed)
+    folded = write_table(folded, "folds")
 
     fitted: dict[str, Fitted] = {}
     for name in names:
         settings = drawn_settings(spaces[name], draws[name], seed)
         weighted = balance == "weight" or (balance == "both" and name == BOOSTED)
+        factor = weight if weighted else None
         if cv_balance == "inside" and oversampled:
-            inner = stratified_folds(part["train"], "label", "entity", seed=seed)
-            model, scores = search_inside_folds(
-                name, inner, features, settings, weight if weighted else None, seed=seed
-            )
+            pairs = balanced_pairs(folded, features, factor, seed)
         else:
-            rows = plain
-            if weighted:
-                rows = rows.withColumn(
-                    "weight", F.when(F.col("label") == 1, weight).otherwise(1.0)
-                )
-            model, scores = random_search_cv(
-                name, rows, settings, weighted, parallelism=parallelism, seed=seed
-            )
+            pairs = fold_pairs(learnable(folded, features, factor))
+        whole = learnable(keyed, features, factor)
+        model, scores = random_search_cv(
+            name, pairs, whole, settings, weighted, parallelism, seed
+        )
         cal = model.transform(assemble(part["cal"], features))
         sigmoid = platt_calibrate(cal.select("label", raw_score(model).alias("score")))
         status[name] = "calibrated" if sigmoid else "raw"

@@ -449,6 +449,7 @@ def _training_rows(spark, sf_dir):
     ready = training.check_features(encoded, features).select(
         F.col("doc_id").alias("entity"), F.col("bad").alias("label"), *features
     )
+    ready = write_table(ready, "encoded")
     return write_table(splitting.stratified_split(ready, "label", "entity"), "split"), features
 
 
@@ -464,9 +465,7 @@ def _fit(name, spark, sf_dir):
     rows = split.filter("split = 'train'")
     weight = splitting.class_weight(rows, "label").first()["weight"]
     weighted = name == training.BOOSTED
-    ready = training.assemble(rows, features).withColumn(
-        "weight", F.when(F.col("label") == 1, weight).otherwise(1.0)
-    )
+    ready = training.learnable(rows, features, weight)
     estimator = training.estimator_for(name, weighted)
     maps = training.param_maps(estimator, [SMALL_SETTINGS[name]], ready.count())
     return estimator.fit(ready, maps[0]), split, features
@@ -502,10 +501,12 @@ def fit_logistic(spark, sf_dir):
 def random_search_cv(spark, sf_dir):
     split, features = _training_rows(spark, sf_dir)
     rows = splitting.stratified_folds(split.filter("split = 'train'"), "label", "entity")
-    ready = write_table(training.assemble(rows, features), "folds")
+    ready = training.learnable(write_table(rows, "folds"), features, None)
     space = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 4]}
     settings = training.drawn_settings(space, 3)
-    _, scores = training.random_search_cv(training.FOREST, ready, settings)
+    _, scores = training.random_search_cv(
+        training.FOREST, training.fold_pairs(ready), ready, settings
+    )
     rows = [(i, str(s), float(f1)) for i, (s, f1) in enumerate(zip(settings, scores))]
     return spark.createDataFrame(rows, "setting int, params string, f1 double")
 

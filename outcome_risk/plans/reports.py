@@ -85,31 +85,28 @@ def train_report(
     if not roles.target or not roles.id:
         raise ValueError("training needs a target and an id column")
     encoder = encoding.stored_encoder(df, encoding.categorical_features(df, roles.target))
-    encoded = encoding.prepare(df, roles, encoder, entity=roles.id)
+    encoded = encoding.prepare(df, roles, encoder)
     features = encoding.feature_columns(df, roles)
     training = train(encoded, roles.target, "entity", features, **options)
     return training, encoded, encoder
 
 
 def risk_report(
-    df: DataFrame, encoded: DataFrame, model, features: list[str], roles: Roles | None = None
+    encoded: DataFrame, model, features: list[str], roles: Roles | None = None
 ) -> dict[str, DataFrame]:
     """Score everybody; categories, crosstab, summary and the highest hundred.
 
-    ``encoded`` carries ``entity``, the id of ``df``.
+    ``encoded`` is the prepared table, which carries the raw rows along.
     """
-    roles = _roles(df, roles)
-    scored = score.score_population(encoded, model, features).select(
-        "entity", "prob", "risk_score", "risk_category"
-    )
-    full = df.join(scored, df[roles.id] == scored["entity"]).drop("entity")
-    counted = rates.risk_category_counts(scored)
+    scored = score.score_population(encoded, model, features)
+    full = scored.select("raw.*", "prob", "risk_score", "risk_category")
+    roles = _roles(full, roles)
     return {
         "scored": full,
-        "category_counts": rates.share_of_total(counted),
+        "category_counts": rates.share_of_total(rates.risk_category_counts(full)),
         "by_group": rates.crosstab_group_risk(full, roles),
         "top": score.top_risk(full, roles),
-        "summary": rates.risk_summary(scored),
+        "summary": rates.risk_summary(full),
     }
 
 
