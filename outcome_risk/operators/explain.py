@@ -53,18 +53,16 @@ def with_contributions(
 def linear_contributions(df: DataFrame, model: Linear, background: DataFrame) -> DataFrame:
     """Add ``contributions, base, scale``: weight times distance from the background mean."""
     features = model.features
+    # One row, one mean per feature.
     means = background.agg(
-        F.struct(
-            *[F.avg(quoted(f).cast("double")).alias(f"f{i}") for i, f in enumerate(features)]
-        ).alias("means")
-    ).scalar()
-    values = [
-        F.lit(float(w)) * (quoted(f).cast("double") - means[f"f{i}"])
-        for i, (f, w) in enumerate(model.weights.items())
-    ]
+        *[F.avg(quoted(f).cast("double")).alias(f"f{i}") for i, f in enumerate(features)]
+    ).first()
+    centres = [F.lit(m).cast("double") for m in means]
+    weights = [F.lit(float(w)) for w in model.weights.values()]
+    values = [w * (quoted(f).cast("double") - c) for f, w, c in zip(features, weights, centres)]
     base = F.lit(float(model.intercept))
-    for i, w in enumerate(model.weights.values()):
-        base = base + F.lit(float(w)) * means[f"f{i}"]
+    for w, c in zip(weights, centres):
+        base = base + w * c
     return with_contributions(df, features, values, base, "log-odds")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from outcome_risk.functions.values import half_even, number
 from outcome_risk.operators.ranking import medians
 from outcome_risk.roles import Roles, empty, quoted
+from outcome_risk.storage import write_table
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -110,6 +111,8 @@ def fill_values(encoded: DataFrame, features: list[str], categorical: list[str])
     The mode (smallest code on ties) replaces an unseen category, so numeric
     features have none.
     """
+    # Stored, as the median search passes several times over what may be a join.
+    encoded = write_table(encoded.select(*[number(encoded, f).alias(f) for f in features]), "features")
     values = long_values(encoded, features)
     middles = medians(values, ["feature"], "value", few_keys=True)
     if not categorical:

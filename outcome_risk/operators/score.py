@@ -72,19 +72,12 @@ def sort_by(df: DataFrame, name: str, descending: bool = True) -> DataFrame:
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
 
 
-def fill_record(fills: DataFrame, features: list[str]) -> Column:
-    """The fill values as one struct of ``<feature>.median`` and ``<feature>.mode``."""
-    def of(feature: str, name: str) -> Column:
-        return F.max(F.when(F.col("feature") == feature, F.col(name)))
-
-    return fills.agg(
-        F.struct(
-            *[
-                F.struct(of(f, "median").alias("median"), of(f, "mode").alias("mode")).alias(f"f{i}")
-                for i, f in enumerate(features)
-            ]
-        ).alias("record")
-    ).scalar()
+def fill_literals(fills: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """Median and mode per feature as constants: one small row per feature."""
+    return {
+        r["feature"]: (F.lit(r["median"]).cast("double"), F.lit(r["mode"]).cast("double"))
+        for r in fills.select("feature", "median", "mode").collect()
+    }
 
 
 def encode_scenarios(
@@ -99,10 +92,11 @@ def encode_scenarios(
     A missing value becomes the median of the encoded column, an unseen category the
     mode, a text that is no number 0. Other columns pass through.
     """
-    record = fill_record(fills, features)
+    literals = fill_literals(fills)
+    unknown = (F.lit(0.0), F.lit(0.0))
     df = scenarios
-    for i, name in enumerate(features):
-        median, mode = record[f"f{i}"]["median"], record[f"f{i}"]["mode"]
+    for name in features:
+        median, mode = literals.get(name, unknown)
         given = quoted(name) if name in scenarios.columns else F.lit(None).cast("string")
         if name in categorical:
             codes = encoder.filter(F.col("column") == name).select(

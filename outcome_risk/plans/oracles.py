@@ -44,7 +44,13 @@ def even(value: str, digits: int) -> str:
 
 # Sources and sinks
 
-put("scan_csv", f"SELECT {HR} FROM s".replace("grade AS", "grade::BIGINT AS"))
+WHOLE = ("JobLevel", "YearsAtCompany", "Age", "JobSatisfaction", "EnvironmentSatisfaction")
+put(
+    "scan_csv",
+    "SELECT * REPLACE ("
+    + ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in WHOLE)
+    + f") FROM (SELECT {HR} FROM s)",
+)
 put(
     "scan_dispatch",
     """SELECT fmt, count(*) AS n, count(target) AS known, CAST(sum(age) AS BIGINT) AS ages
