@@ -7,7 +7,6 @@ expressions without any shuffle; only the global importance aggregates.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +15,6 @@ from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from outcome_risk.functions import bands
 from outcome_risk.functions.values import half_even
@@ -127,8 +125,8 @@ def _leaf(value: float, path: dict[int, tuple[float, float, float]]) -> Leaf:
     return Leaf(value, np.array(names, dtype=int), parts[:, 0], parts[:, 1], parts[:, 2])
 
 
-def leaf_contributions(x: np.ndarray, leaves: list[Leaf]) -> tuple[np.ndarray, float]:
-    """Exact path-dependent Shapley values of a batch of rows, and the base value.
+def leaf_contributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
+    """Exact path-dependent Shapley values of a batch of rows.
 
     For one leaf the game is a product over its features: 1 or 0 by the row's value when
     the feature is known, the training share when it is not. Its Shapley value is the
@@ -137,10 +135,8 @@ def leaf_contributions(x: np.ndarray, leaves: list[Leaf]) -> tuple[np.ndarray, f
     nodes integrates it exactly.
     """
     phi = np.zeros(x.shape)
-    base = 0.0
     rules: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for value, features, low, high, share in leaves:
-        base += value * float(np.prod(share))
         depth = len(features)
         if not depth:
             continue
@@ -154,31 +150,34 @@ def leaf_contributions(x: np.ndarray, leaves: list[Leaf]) -> tuple[np.ndarray, f
             mixed = known * t + share * (1 - t)
             total += w * mixed.prod(axis=1, keepdims=True) / mixed
         phi[:, features] += value * (known - share) * total
-    return phi, base
+    return phi
+
+
+def base_value(leaves: list[Leaf]) -> float:
+    """The ensemble's output when no feature is known."""
+    return float(sum(value * np.prod(share) for value, _, _, _, share in leaves))
 
 
 def tree_contributions(
     df: DataFrame, leaves: list[Leaf], features: list[str], scale: str
 ) -> DataFrame:
-    """Add ``contributions, base, scale`` for a tree ensemble, batch by batch.
+    """Add ``contributions, base, scale`` for a tree ensemble.
 
-    The leaves are shipped as one broadcast variable; rows are never moved.
+    Only the features cross to Python, in Arrow batches; all other columns stay in the
+    JVM. The leaves are shipped as one broadcast variable; rows are never moved.
     """
     shared = df.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in leaves])
-    wide = [f"_phi{i}" for i in range(len(features))]
-    added = [T.StructField(name, T.DoubleType()) for name in [*wide, "base"]]
-    schema = T.StructType([*df.schema.fields, *added])
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            phi, base = leaf_contributions(x, shared.value)
-            yield batch.assign(**{c: phi[:, i] for i, c in enumerate(wide)}, base=base)
+    @F.pandas_udf("array<double>")
+    def shapley(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        return pd.Series(list(leaf_contributions(x, shared.value)))
 
-    explained = df.mapInPandas(explain, schema)
+    explained = df.withColumn("_phi", shapley(*[quoted(f).cast("double") for f in features]))
+    values = [F.col("_phi")[i] for i in range(len(features))]
     return with_contributions(
-        explained, features, [F.col(c) for c in wide], F.col("base"), scale
-    ).drop(*wide)
+        explained, features, values, F.lit(base_value(leaves)), scale
+    ).drop("_phi")
 
 
 def explain_model(df: DataFrame, fitted, features: list[str], background: DataFrame) -> DataFrame:

@@ -395,6 +395,21 @@ put(
     """SELECT id AS entity, feature, round(value, 6) AS value, round(contribution, 6) AS contribution FROM c""",
     CONTRIBUTED,
 )
+put(
+    "fixed_tree_contributions",
+    """SELECT id AS entity, 'MonthlyIncome' AS feature, amount AS value,
+      round(0.1::DOUBLE * (1 - rich - 0.5) + 0.4::DOUBLE * (rich - 0.5) * (0.4 + 1 - old) / 2
+            + 0.9::DOUBLE * (rich - 0.5) * (0.6 + old) / 2, 6) AS contribution FROM o
+    UNION ALL
+    SELECT id, 'Age', age::DOUBLE,
+      round(0.4::DOUBLE * (1 - old - 0.4) * (0.5 + rich) / 2
+            + 0.9::DOUBLE * (old - 0.6) * (0.5 + rich) / 2, 6) FROM o""",
+    """
+o AS (
+  SELECT id, amount, age, CASE WHEN amount > 250000 THEN 1.0::DOUBLE ELSE 0 END AS rich,
+         CASE WHEN age > 40 THEN 1.0::DOUBLE ELSE 0 END AS old FROM s
+)""",
+)
 put(
     "top_contributions",
     """SELECT id AS entity, CAST(rank AS INT) AS rank, feature, round(value, 6) AS value,

@@ -341,7 +341,7 @@ def top_risk(spark, sf_dir):
 
 @query
 def sort_by(spark, sf_dir):
-    """The order itself is checked by the position of every row in the exported files."""
+    """The rows; a unit test checks their order."""
     df, _ = _hr(spark, sf_dir)
     gaps = df.select(
         "EmployeeNumber",
@@ -649,6 +649,14 @@ def linear_contributions(spark, sf_dir):
     return _rounded(long, 6, "value", "contribution")
 
 
+@query
+def fixed_tree_contributions(spark, sf_dir):
+    df, _ = _hr(spark, sf_dir)
+    features = tables.FIXED.features
+    explained = explain.tree_contributions(df, tables.FIXED_TREE, features, "probability")
+    return _rounded(explain.long_contributions(explained, "EmployeeNumber"), 6, "contribution")
+
+
 @query
 def tree_contributions(spark, sf_dir):
     model, split, features = _fit(training.FOREST, spark, sf_dir)

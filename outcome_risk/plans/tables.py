@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outcome_risk.operators.explain import Leaf
 from outcome_risk.operators.score import Linear
 
 HR_COLUMNS = {
@@ -26,6 +28,16 @@ FIXED = Linear(
 )
 
 
+# A fixed tree over (MonthlyIncome, Age): half of the rows earn at most 250000, two
+# fifths of the others are at most 40 years old.
+_INF = float("inf")
+FIXED_TREE = [
+    Leaf(0.1, np.array([0]), np.array([-_INF]), np.array([250000.0]), np.array([0.5])),
+    Leaf(0.4, np.array([0, 1]), np.array([250000.0, -_INF]), np.array([_INF, 40.0]), np.array([0.5, 0.4])),
+    Leaf(0.9, np.array([0, 1]), np.array([250000.0, 40.0]), np.array([_INF, _INF]), np.array([0.5, 0.6])),
+]
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with injected nulls; the outcome is random."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -131,6 +131,13 @@ def test_tree_contributions_are_exact(spark, learnable, name):
         assert [c["contribution"] for c in r["contributions"]] == pytest.approx(phi, abs=1e-9)
 
 
+def test_trees_are_evaluated_once_and_only_on_features(learnable):
+    leaves = [(0.5, np.array([1]), np.array([-np.inf]), np.array([0.0]), np.array([0.5]))]
+    explained = explain.tree_contributions(learnable, leaves, ["a", "b"], "any")
+    plan = explain.with_drivers(explained)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_stump_by_hand():
     """One split on feature 0 at 1.0, a quarter of the rows left of it."""
     inf = np.inf
@@ -138,8 +145,8 @@ def test_stump_by_hand():
         (0.8, np.array([0]), np.array([-inf]), np.array([1.0]), np.array([0.25])),
         (0.2, np.array([0]), np.array([1.0]), np.array([inf]), np.array([0.75])),
     ]
-    phi, base = explain.leaf_contributions(np.array([[0.0, 9.0], [5.0, 9.0]]), leaves)
-    assert base == pytest.approx(0.35)
+    phi = explain.leaf_contributions(np.array([[0.0, 9.0], [5.0, 9.0]]), leaves)
+    assert explain.base_value(leaves) == pytest.approx(0.35)
     assert phi.tolist() == [[pytest.approx(0.45), 0.0], [pytest.approx(-0.15), 0.0]]
 
 
