@@ -125,8 +125,8 @@ def crosstab_group_flag(
     """
     if not roles.group or not roles.flag:
         return empty(df, "grp string")
-    known = df.filter(quoted(roles.flag).isNotNull())
-    table = _by(known, roles.group, "grp").pivot(roles.flag, flags).count()
+    known = df.withColumn("_flag", quoted(roles.flag)).filter(F.col("_flag").isNotNull())
+    table = _by(known, roles.group, "grp").pivot("_flag", flags).count()
     return table.na.fill(0).orderBy("grp")
 
 

@@ -9,8 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from outcome_risk.operators.splitting import (
     stratified_folds,
     stratified_split,
 )
+from outcome_risk.roles import quoted
 from outcome_risk.storage import write_table
 
 log = logging.getLogger(__name__)
@@ -89,7 +89,8 @@ def param_maps(estimator, settings: list[dict], rows: int) -> list[dict]:
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df)
+    values = F.array(*[quoted(f).cast("double") for f in features])
+    return df.withColumn("features", array_to_vector(values))
 
 
 def f1_score(predicted: DataFrame) -> float:
@@ -251,9 +252,11 @@ def check_features(df: DataFrame, features: list[str], on_null: str = "error") -
     ready = df.withColumns({f: number(df, f) for f in features})
     if on_null == "median":
         medians = {r["feature"]: r["median"] for r in fill_values(ready, features, []).collect()}
-        return ready.na.fill(medians)
-    gaps = ready.agg(*[F.count_if(F.col(f"`{f}`").isNull()).alias(f) for f in features]).first()
-    missing = [f for f in features if gaps[f]]
+        return ready.withColumns(
+            {f: F.coalesce(quoted(f), F.lit(m)) for f, m in medians.items() if f in features}
+        )
+    gaps = ready.agg(*[F.count_if(quoted(f).isNull()) for f in features]).first()
+    missing = [f for f, rows in zip(features, gaps) if rows]
     if missing:
         raise ValueError(f"features with missing values: {missing}; use on_null='median'")
     return ready
@@ -286,7 +289,9 @@ def train(
 
     # Stored, as the split looks several times at the label and the id.
     ready = check_features(encoded, features, on_null).select(
-        F.col(entity).alias("entity"), F.col(label).cast("int").alias("label"), *features
+        quoted(entity).alias("entity"),
+        quoted(label).cast("int").alias("label"),
+        *[quoted(f) for f in features],
     )
     ready = write_table(ready, "encoded")
     split = write_table(stratified_split(ready, "label", "entity", seed), "split")
@@ -302,7 +307,7 @@ def train(
         "key",
         F.when(
             F.col("synthetic"),
-            F.concat_ws("|", F.col("entity").cast("string"), *[F.col(f).cast("string") for f in features]),
+            F.concat_ws("|", F.col("entity").cast("string"), *[quoted(f).cast("string") for f in features]),
         ).otherwise(F.col("entity").cast("string")),
     )
     keyed = write_table(keyed, "balanced")

@@ -142,3 +142,28 @@ def test_report_columns_have_no_repeats(hr):
     assert columns == [
         "EmployeeNumber", "risk_score", "risk_category", "Department", "JobRole", "JobLevel",
     ]
+
+
+def test_names_with_spaces_and_dots(hr):
+    from outcome_risk.operators import training
+
+    odd = hr.filter("EmployeeNumber < 250").withColumnsRenamed(
+        {"MonthlyIncome": "Monthly Income", "JobRole": "Job Role", "YearsAtCompany": "Years.Here"}
+    )
+    roles = resolve_roles(odd.columns, {"tenure": "Years.Here"})
+    assert (roles.amount, roles.role) == ("Monthly Income", "Job Role")
+    board = reports.dashboard_report(odd, "", roles)
+    assert board["amount_by_group"].count() == 5 and board["counts_by_role"].count() == 5
+    assert board["tenure"].count() >= 5
+    assert reports.eda_report(odd, roles)["correlation"].count() == 49
+    done, encoded, encoder = reports.train_report(
+        odd,
+        roles,
+        models=[training.FOREST],
+        spaces={training.FOREST: {"numTrees": [2], "maxDepth": [2]}},
+        on_null="median",
+    )
+    assert {"Monthly Income", "Job Role", "Years.Here"} <= set(done.features)
+    assert reports.explain_report(done)["importance"].count() > 1
+    cases = odd.limit(3).select("Job Role")
+    assert reports.scenario_report(cases, done, encoded, encoder).count() == 3
