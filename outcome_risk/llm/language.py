@@ -1,12 +1,15 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is filled with sampled text. A text is
-compressed with every dictionary, in blocks of equal size so that the dictionary counts as
-much at the end of a long text as at its start, and the smallest total names the language.
-When the best two are closer than ``min_margin`` bytes the prediction is rejected.
+For each language zstandard raw-content dictionaries are filled with sampled text. A text,
+lower-cased, cut to its words and without immediate repeats of a word, is compressed with
+the dictionary of every language, in blocks of equal size so that the dictionary counts as
+much at the end of a long text as at its start. The smallest total names the language.
+When the best two are closer than ``min_margin`` bytes, a second dictionary of each
+language, of other texts, is asked too; if its sizes do not settle it either, the margin is
+narrow and the prediction is rejected.
 
 The sample is bounded: about ``sample_rows`` texts per language, of each at most
-``sample_bytes`` in pieces picked by hash, and ``dictionary_bytes`` per dictionary.
+``sample_bytes`` characters picked by hash, and ``dictionary_bytes`` per dictionary.
 Labelled rows with a null language or text are not learnt from. Texts that are null or
 without a letter get ``und``, score 0, and are rejected. Ties between languages go to the
 first name. Without any labelled row every text is ``und``. Repeated rows are treated alike.
@@ -14,7 +17,9 @@ first name. Without any labelled row every text is ``und``. Repeated rows are tr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -23,14 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
-LEVEL = 3
+LEVEL = 6
 BLOCK_BYTES = 4096
-DICTIONARY_BYTES = 48 << 10
-SAMPLE_ROWS = 400
-SAMPLE_BYTES = 1024
+DICTIONARY_BYTES = 64 << 10
+SAMPLE_ROWS = 500
+SAMPLE_BYTES = 600
 MAX_LANGUAGES = 200
 MIN_MARGIN = 1
 LETTER = regex.compile(r"\p{L}")
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def plain_words(text: str) -> bytes:
+    """Lower-cased words in order, a word that follows itself once."""
+    return " ".join(word for word, _ in groupby(_BETWEEN.split(text.lower()))).encode("utf-8")
 
 
 def fit_dictionaries(
@@ -40,8 +51,8 @@ def fit_dictionaries(
     sample_rows: int = SAMPLE_ROWS,
     sample_bytes: int = SAMPLE_BYTES,
     dictionary_bytes: int = DICTIONARY_BYTES,
-) -> dict[str, bytes]:
-    """Dictionary content by language, from a bounded sample picked by text hash."""
+) -> dict[str, list[bytes]]:
+    """Contents of two dictionaries by language, from a bounded sample picked by text hash."""
     rows = labelled.select(F.col(f"`{language}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.filter("lang is not null and text is not null and length(text) > 0")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -62,13 +73,17 @@ def fit_dictionaries(
     bounded = picked.select("lang", piece, F.xxhash64("text").alias("h")).orderBy("h").limit(4 * sample_rows * len(counts))
     for row in bounded.toLocalIterator():
         pieces[row["lang"]].append(row["piece"])
-    return {lang: _fill(own, dictionary_bytes) for lang, own in pieces.items() if own}
+    return {
+        lang: [_fill(own[0::2], dictionary_bytes), _fill(own[1::2] or own, dictionary_bytes)]
+        for lang, own in pieces.items()
+        if own
+    }
 
 
 def _fill(pieces: list[str], size: int) -> bytes:
     content, total = [], 0
     for piece in pieces:
-        raw = piece.encode("utf-8")
+        raw = plain_words(piece)
         if total + len(raw) + 1 > size:
             raw = raw[: max(0, size - total - 1)]
         content.append(raw)
@@ -78,38 +93,56 @@ def _fill(pieces: list[str], size: int) -> bytes:
     return b"\n".join(content) + b"\n"
 
 
+def _compressor(content: bytes):
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL,
+        source_size=BLOCK_BYTES,
+        dict_size=len(content),
+        write_content_size=False,
+        write_checksum=False,
+        write_dict_id=False,
+    )
+    dictionary.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress
+
+
 class Classifier:
     """Compressors of all languages."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: dict[str, list[bytes]]):
         self.languages = sorted(dictionaries)
-        self.compress = []
-        for lang in self.languages:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            self.compress.append(
-                zstandard.ZstdCompressor(
-                    level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False
-                ).compress
-            )
-
-    def sizes(self, text: str) -> list[int]:
-        raw = text.encode("utf-8")
+        self.first = [_compressor(dictionaries[lang][0]) for lang in self.languages]
+        self.second = [_compressor(dictionaries[lang][1]) for lang in self.languages]
+
+    @staticmethod
+    def _sizes(raw: bytes, compressors: list) -> list[int]:
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        return [sum(len(compress(block)) for block in blocks) for compress in self.compress]
+        return [sum(len(compress(block)) for block in blocks) for compress in compressors]
 
     def predict(self, text: str | None, min_margin: int) -> tuple[str, float, int, bool]:
         """Language, score, margin in bytes, rejected."""
         if not text or not self.languages or LETTER.search(text) is None:
             return UND, 0.0, 0, True
-        sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        margin = sizes[order[1]] - sizes[order[0]] if len(order) > 1 else len(text)
-        return self.languages[order[0]], 1.0 - 0.5 ** (1 + min(margin, 50)), margin, margin < min_margin
+        raw = plain_words(text)
+        sizes = self._sizes(raw, self.first)
+        if len(sizes) == 1:
+            return self.languages[0], 1.0, len(raw), False
+        best, margin = _best(sizes)
+        if margin < min_margin:
+            more = self._sizes(raw, self.second)
+            best, margin = _best([a + b for a, b in zip(sizes, more)])
+        return self.languages[best], 1.0 - 0.5 ** (1 + min(margin, 50)), margin, margin < min_margin
+
+
+def _best(sizes: list[int]) -> tuple[int, int]:
+    """The smallest size's place, the first of equals, and its distance to the next."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    return order[0], sizes[order[1]] - sizes[order[0]]
 
 
 def identify(
-    df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: int = MIN_MARGIN, keep_text: bool = True
+    df: DataFrame, dictionaries: dict[str, list[bytes]], text: str = "text", min_margin: int = MIN_MARGIN, keep_text: bool = True
 ) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1), ``margin`` (bytes) and ``rejected``."""
     added = ("lang_pred", "score", "margin", "rejected")
