@@ -99,7 +99,8 @@ def _later_copies(named: DataFrame) -> DataFrame:
     names = ["n", "head", "tail"]
     place = F.struct("key", "row", "start")
     first = named.groupBy(*names).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.filter("copies > 1")
+    # written, so that both sides of the join are dealt anew and a hot name can be split
+    first = write_table(first.filter("copies > 1"), "line-firsts")
     later = named.join(first, names).filter(place > F.col("first"))
     return later.select("row", "start", "n")
 
@@ -148,7 +149,8 @@ def dedup_lines(
     packed = write_table(packed, "line-documents")
     keyed = packed.select("row", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("text"))
     gone = write_table(removed_lines(keyed, "text", min_chars), "line-removed")
-    joined = packed.join(gone, "row", "left")
+    # always dealt by row, never broadcast: the plan is the same at every size
+    joined = packed.join(gone.hint("shuffle_hash"), "row", "left")
     lines = F.split(F.col(f"doc.`{text}`"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
