@@ -1,24 +1,26 @@
 """Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-The n-grams of all documents have one global order, their hash. It is cut into fragments,
-and every document's set falls into segments, one per fragment.
-
-1. A task turns its documents into sorted segments, packed per fragment. A fragment tells
-   which n-grams two different sets share. An n-gram that several sets of one task share is
-   sent once for all of them, so a fragment gets each n-gram at most once per task.
-2. Only sets that share at least the threshold's part of their n-grams can link. Most
-   documents end here; the others keep their shared n-grams.
-3. In the order "shared by nobody first, then by hash", linked sets share one of their
-   first ``n - ceil(threshold * n) + 1`` n-grams. Sets under one such n-gram are compared
-   with its smallest set, then with another one. Sets that are connected already need no
-   comparison; those of one n-gram that are still apart are compared with each other.
+Every n-gram has a 56-bit hash. The hash range is cut into fragments, and every document's
+set falls into segments, one per fragment.
+
+1. A task turns its documents into sorted segments, packed per fragment; equal sets of a
+   task are one. A fragment counts in how many sets each n-gram is. An n-gram that several
+   sets of one task share is sent once for all of them, so a fragment gets each n-gram at
+   most once per task, however common it is.
+2. The counts go back to the task's documents. Only sets that share at least the
+   threshold's part of their n-grams with other sets can link. Most documents end here.
+3. The global order of n-grams is by count, then by hash; n-grams in one set only come
+   first. Linked sets share one of their first ``n - ceil(threshold * n) + 1`` n-grams.
+   Sets under one such n-gram are compared with its smallest set, then with another one.
+   Sets that are connected already need no comparison; those of one n-gram that are still
+   apart are compared with each other.
 4. A comparison counts partial overlaps fragment by fragment and sums them per pair.
    A pair links when ``100 * overlap >= percent * union``.
 
 Equal sets are one class from the start, and only links between classes are computed.
-N-grams are compared by 64-bit hashes. Null ids are allowed: such rows link, but a
-component is named by its smallest id, null if it has none. Texts that are null or have no
-words have no n-grams and stay alone. Rows that repeat are in one component.
+Null ids are allowed: such rows link, but a component is named by its smallest id, null if
+it has none. Texts that are null or have no words have no n-grams and stay alone. Rows
+that repeat are in one component.
 """
 
 from __future__ import annotations
@@ -42,22 +44,25 @@ GROUP_GRAMS = 2_000_000
 GROUP_ROWS = 60_000
 FRAGMENT_GRAMS = 1_000_000
 VERIFY_FRAGMENTS = 4
-SEVERAL = 0xFFFF
+#: Set numbers from here on say how many sets of one task share the n-gram.
+SEVERAL = GROUP_ROWS
+KEPT_BITS = ~np.uint64(0xFF)
 
-PACKED = "route long, fragment int, group_id long, high binary, low binary, sets binary"
-PARTS = "kind string, doc_id long, n long, sig binary, grams binary"
+PACKED = "route long, fragment int, group_id long, high binary, low binary, sets binary, codes binary"
+PARTS = "kind string, doc_id long, n long, sig binary, grams binary, codes binary"
+SETS = "sig binary, n long, segments array<binary>, prefix array<long>"
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     for _, data, offsets in text_slices(texts):
         words = words_of(data, offsets, SPACED)
-        grams = gram_hashes(words.hashes, size)
+        grams = gram_hashes(words.hashes, size) & KEPT_BITS
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             if b - a >= size:
                 yield np.unique(grams[a : b - size + 1])
             elif b > a:
-                yield gram_hashes(words.hashes[a:b], b - a)
+                yield gram_hashes(words.hashes[a:b], b - a) & KEPT_BITS
             else:
                 yield np.zeros(0, dtype=np.uint64)
 
@@ -69,16 +74,29 @@ def signature(grams: np.ndarray) -> bytes:
 
 
 def _pack(grams: np.ndarray, sets: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Sorted hashes as differences of the high halves (mostly small) and low halves."""
-    high = (grams >> np.uint64(32)).astype(np.int64)
-    steps = np.diff(high, prepend=0).astype("<u4")
-    return steps.tobytes(), grams.astype("<u4").tobytes(), sets.astype("<u2").tobytes()
+    """Sorted hashes as steps of their first 24 bits, in few bytes, and their next 32."""
+    steps = np.diff((grams >> np.uint64(40)).astype(np.int64), prepend=0)
+    largest = int(steps.max(initial=0))
+    width = 1 if largest < 1 << 8 else 2 if largest < 1 << 16 else 4
+    low = ((grams >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return bytes([width]) + steps.astype(f"<u{width}").tobytes(), low.tobytes(), sets.astype("<u2").tobytes()
 
 
 def _unpack(high: bytes, low: bytes, sets: bytes) -> tuple[np.ndarray, np.ndarray]:
-    tops = np.cumsum(np.frombuffer(high, "<u4").astype(np.uint64))
-    grams = (tops << np.uint64(32)) + np.frombuffer(low, "<u4").astype(np.uint64)
-    return grams, np.frombuffer(sets, "<u2")
+    steps = np.frombuffer(high, f"<u{high[0]}", offset=1)
+    tops = np.cumsum(steps.astype(np.uint64))
+    grams = (tops << np.uint64(40)) + (np.frombuffer(low, "<u4").astype(np.uint64) << np.uint64(8))
+    return grams, np.frombuffer(sets, "<u2").astype(np.int64)
+
+
+def _code(sets: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Counts of sets in one byte that keeps their order within each half.
+
+    Below 128 it is the exact number of tasks that have the n-gram, each in one set. From
+    128 on some task has it in several sets, or very many have it: it is shared for sure.
+    """
+    steps = np.minimum(8 * np.log2(np.maximum(sets, 1)), 127).astype(np.int64)
+    return np.where(several | (sets >= 128), 128 + steps, sets).astype(np.uint8)
 
 
 class _Group:
@@ -110,24 +128,23 @@ class _Group:
         nulls = np.array([i is None for i in self.ids], dtype=np.uint8)
         ids = np.array([0 if i is None else i for i in self.ids], dtype="<i8")
         meta = ids.tobytes() + nulls.tobytes() + np.array(self.counts, dtype="<i8").tobytes()
-        yield -1 - group_id, -1, group_id, meta, b"".join(self.signatures), b""
+        yield -1 - group_id, -1, group_id, meta, b"".join(self.signatures), b"", b""
         if not self.grams:
             return
         grams = np.concatenate(self.grams)
         sets = np.repeat(np.arange(len(self.grams)), [len(g) for g in self.grams])
         order = np.argsort(grams)
         grams, sets = grams[order], sets[order]
-        same = grams[1:] == grams[:-1]
-        shared = np.zeros(len(grams), dtype=bool)
-        shared[1:], first = same, np.ones(len(grams), dtype=bool)
-        shared[:-1] |= same
-        first[1:] = ~same
-        yield -1 - group_id, -2, group_id, *_pack(grams[shared], sets[shared])
-        sent, owners = grams[first], np.where(shared[first], SEVERAL, sets[first])
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        counts = np.diff(first, append=len(grams))
+        shared = np.repeat(counts > 1, counts)
+        yield -1 - group_id, -2, group_id, *_pack(grams[shared], sets[shared]), b""
+        sent = grams[first]
+        owners = np.where(counts > 1, SEVERAL + np.minimum(counts, 0xFFFF - SEVERAL), sets[first])
         cuts = np.searchsorted(sent, _bounds(fragments))
         for fragment, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(sent)])):
             if b > a:
-                yield fragment, fragment, group_id, *_pack(sent[a:b], owners[a:b])
+                yield fragment, fragment, group_id, *_pack(sent[a:b], owners[a:b]), b""
 
 
 def _bounds(fragments: int) -> np.ndarray:
@@ -136,8 +153,8 @@ def _bounds(fragments: int) -> np.ndarray:
 
 
 def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["route", "fragment", "group_id", "high", "low", "sets"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    names = ["route", "fragment", "group_id", "high", "low", "sets", "codes"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -158,30 +175,54 @@ def _segments(df: DataFrame, size: int, fragments: int) -> DataFrame:
 
 
 def _shared_in_fragment(frame: pd.DataFrame) -> pd.DataFrame:
-    """Per group, the n-grams of one fragment that other sets have too."""
+    """Per group, the n-grams of one fragment that other sets have too, with their codes."""
     if frame["fragment"].iloc[0] < 0:
         return frame
     parts = [_unpack(*row) for row in zip(frame["high"], frame["low"], frame["sets"])]
     grams = np.concatenate([g for g, _ in parts])
     owners = np.concatenate([s for _, s in parts])
     from_row = np.repeat(np.arange(len(parts)), [len(g) for g, _ in parts])
+    several = owners > SEVERAL
     order = np.argsort(grams)
     ordered = grams[order]
-    same = ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(ordered), dtype=bool)
-    shared[1:] = same
-    shared[:-1] |= same
-    kept = np.sort(order[shared])
-    kept = kept[owners[kept] != SEVERAL]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.add.reduceat(np.where(several, owners - SEVERAL, 1)[order], first)
+    codes = _code(counts, np.add.reduceat(several[order], first, dtype=np.int64) > 0)
+    runs = np.diff(first, append=len(ordered))
+    code = np.empty(len(grams), dtype=np.uint8)
+    code[order] = np.repeat(np.where(counts > 1, codes, 0), runs)
+    kept = np.flatnonzero(code)
     out = []
     cuts = np.searchsorted(from_row[kept], np.arange(len(parts) + 1))
     for i, group_id in enumerate(frame["group_id"].tolist()):
         own = kept[cuts[i] : cuts[i + 1]]
         if len(own):
-            out.append((-1 - group_id, -2, group_id, *_pack(grams[own], owners[own])))
+            out.append((-1 - group_id, -2, group_id, *_pack(grams[own], owners[own]), code[own].tobytes()))
     return pd.DataFrame(out, columns=list(frame.columns))
 
 
+def _coded(rest: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, n-gram, code) of the shared n-grams of one group."""
+    grams, sets, codes, direct = [], [], [], []
+    for high, low, owners, own_codes in zip(rest["high"], rest["low"], rest["sets"], rest["codes"]):
+        g, s = _unpack(high, low, owners)
+        if len(own_codes):
+            grams.append(g), sets.append(s), codes.append(np.frombuffer(own_codes, np.uint8))
+        else:
+            direct.append((g, s))
+    if not grams:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    grams, sets, codes = np.concatenate(grams), np.concatenate(sets), np.concatenate(codes)
+    several = sets > SEVERAL
+    known = np.argsort(grams[several])
+    known_grams, known_codes = grams[several][known], codes[several][known]
+    all_grams, all_sets, all_codes = [grams[~several]], [sets[~several]], [codes[~several]]
+    for g, s in direct:
+        all_grams.append(g), all_sets.append(s)
+        all_codes.append(known_codes[np.searchsorted(known_grams, g)])
+    return np.concatenate(all_sets), np.concatenate(all_grams), np.concatenate(all_codes)
+
+
 def _candidates(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Documents of one group, and its sets that share enough n-grams to link."""
@@ -198,6 +239,7 @@ def _candidates(percent: int):
                 "n": sizes,
                 "sig": signatures,
                 "grams": None,
+                "codes": None,
             }
         )
         docs.loc[nulls, "doc_id"] = pd.NA
@@ -205,66 +247,58 @@ def _candidates(percent: int):
         for sig, size in zip(signatures, sizes.tolist()):
             if size and sig not in number:
                 number[sig] = size
-        rest = frame[frame["fragment"] == -2]
-        parts = [_unpack(*row) for row in zip(rest["high"], rest["low"], rest["sets"])]
-        if not parts:
-            return docs
-        grams = np.concatenate([g for g, _ in parts])
-        sets = np.concatenate([s for _, s in parts])
-        order = np.lexsort((grams, sets))
-        grams, sets = grams[order], sets[order]
-        cuts = np.searchsorted(sets, np.arange(len(number) + 1))
+        sets, grams, codes = _coded(frame[frame["fragment"] == -2])
+        order = np.argsort(sets, kind="stable")
+        grams, codes = grams[order], codes[order]
+        cuts = np.searchsorted(sets[order], np.arange(len(number) + 1))
         kept = []
         for i, (sig, size) in enumerate(number.items()):
-            own = grams[cuts[i] : cuts[i + 1]]
-            if len(own) and 100 * len(own) >= percent * size:
-                kept.append(("set", None, size, sig, own.astype("<u8").tobytes()))
+            own = slice(cuts[i], cuts[i + 1])
+            if 100 * (cuts[i + 1] - cuts[i]) >= percent * size:
+                kept.append(("set", None, size, sig, grams[own].astype("<u8").tobytes(), codes[own].tobytes()))
+        if not kept:
+            return docs
         found = pd.DataFrame(kept, columns=list(docs.columns))
         found["doc_id"] = found["doc_id"].astype("Int64")
-        return pd.concat([docs, found], ignore_index=True) if len(found) else docs
+        return pd.concat([docs, found], ignore_index=True)
 
     return run
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``gram, sid`` of the shared n-grams that linked sets must have one of in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, owners = [], []
-            for sid, n, raw in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "grams"))):
-                own = np.frombuffer(raw, "<u8")
-                least = -(-percent * n // 100)
-                first = n - least + 1 - (n - len(own))
-                grams.append(own[:first].astype(np.int64))
-                owners.append(np.full(min(first, len(own)), sid, dtype=np.int64))
-            if grams:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams)), pa.array(np.concatenate(owners))], names=["gram", "sid"]
-                )
-
-    return sets.select("sid", "n", "grams").mapInArrow(run, "gram long, sid long")
-
-
-def _set_segments(sets: DataFrame, fragments: int) -> DataFrame:
-    """``sid, fragment, segment``: every set cut at the fragments of the global order."""
+def _distinct_sets(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """One row per set with what it shares with different sets: its segments, and the
+    first n-grams of the global order, of which linked sets have one in common.
+    """
+    once = sets.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.first("n").alias("n"),
+        F.first(F.struct("grams", "codes")).alias("own"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(fragments)
         for batch in batches:
             out: list[tuple] = []
-            for sid, raw in zip(*(batch.column(c).to_pylist() for c in ("sid", "grams"))):
-                own = np.frombuffer(raw, "<u8")
-                cuts = [*np.searchsorted(own, bounds).tolist(), len(own)]
-                out += [(sid, f, raw[8 * a : 8 * b]) for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            for sig, copies, n, raw, raw_codes in zip(*(column.to_pylist() for column in batch.columns)):
+                grams, codes = np.frombuffer(raw, "<u8"), np.frombuffer(raw_codes, np.uint8)
+                # an n-gram in no more tasks than the set itself is in no other set
+                other = (codes >= 128) | (codes > copies)
+                grams, codes = grams[other], codes[other]
+                if 100 * len(grams) < percent * n:
+                    continue
+                first = len(grams) - -(-percent * n // 100) + 1
+                prefix = grams[np.lexsort((grams, codes))[:first]].astype(np.int64)
+                grams = np.sort(grams)
+                cuts = [*np.searchsorted(grams, bounds).tolist(), len(grams)]
+                segments = [grams[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]
+                out.append((sig, n, segments, prefix))
             if out:
-                sid, fragment, segment = zip(*out)
+                kinds = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.binary())],
-                    names=["sid", "fragment", "segment"],
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["sig", "n", "segments", "prefix"]
                 )
 
-    return sets.select("sid", "grams").mapInArrow(run, "sid long, fragment int, segment binary")
+    return once.select("sig", "copies", "n", "own.grams", "own.codes").mapInArrow(run, SETS)
 
 
 def _overlaps(both: DataFrame) -> DataFrame:
@@ -309,12 +343,12 @@ def _apart(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(spans.filter("low <> high").select("gram"), "gram", "left_semi")
 
 
-def join_sets(sets: DataFrame, percent: int = PERCENT, fragments: int = VERIFY_FRAGMENTS) -> DataFrame:
-    """``node, root`` of the sets (``sid, n, grams``) that link with another one."""
-    postings = _prefixes(sets, percent)
-    postings = write_table(postings, "ngram-postings")
+def join_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, root`` of the sets (``sid, n, segments, prefix``) that link with another one."""
+    postings = write_table(sets.select(F.explode("prefix").alias("gram"), "sid"), "ngram-postings")
     sizes = sets.select("sid", "n")
-    segments = write_table(_set_segments(sets, fragments), "ngram-segments")
+    segments = sets.select("sid", F.posexplode("segments").alias("fragment", "segment"))
+    segments = segments.filter(F.octet_length("segment") > 0)
     # one set of each n-gram, first the smallest, then another one, speaks for it
     roots = None
     links: DataFrame | None = None
@@ -363,9 +397,9 @@ def near_duplicates(
     parts = shared.groupBy("group_id").applyInPandas(_candidates(percent), PARTS)
     path = write_parts(parts, "ngram-parts", "kind")
     docs = read_parts(spark, parts, path, "kind", "doc").select("doc_id", "n", "sig")
-    sets = read_parts(spark, parts, path, "kind", "set").select("n", "sig", "grams")
-    sets = sets.dropDuplicates(["sig"]).withColumn("sid", F.monotonically_increasing_id())
-    sets = write_table(sets, "ngram-sets")
+    sets = read_parts(spark, parts, path, "kind", "set").select("n", "sig", "grams", "codes")
+    sets = _distinct_sets(sets, percent, VERIFY_FRAGMENTS)
+    sets = write_table(sets.withColumn("sid", F.monotonically_increasing_id()), "ngram-sets")
     roots = join_sets(sets, percent)
     named = sets.select("sid", "sig").join(roots.withColumnRenamed("node", "sid"), "sid")
     names = sets.select(F.col("sid").alias("root"), F.col("sig").alias("class"))
