@@ -11,9 +11,11 @@ set falls into segments, one per fragment.
    threshold's part of their n-grams with other sets can link. Most documents end here.
 3. The global order of n-grams is by count, then by hash; n-grams in one set only come
    first. Linked sets share one of their first ``n - ceil(threshold * n) + 1`` n-grams.
-   Sets under one such n-gram are compared with its smallest set, then with another one.
-   Sets that are connected already need no comparison; those of one n-gram that are still
-   apart are compared with each other.
+   Sets under one such n-gram are compared with one set that speaks for it, in the first
+   turn the one that shares most of its n-grams, then others. Sets that are connected
+   already need no comparison, so a group of near copies is soon one; all that are still
+   apart are compared. Pairs that cannot reach the threshold by their sizes and by how
+   many n-grams they share with any set at all are never made.
 4. A comparison counts partial overlaps fragment by fragment and sums them per pair.
    A pair links when ``100 * overlap >= percent * union``.
 
@@ -44,13 +46,17 @@ GROUP_GRAMS = 2_000_000
 GROUP_ROWS = 60_000
 FRAGMENT_GRAMS = 1_000_000
 VERIFY_FRAGMENTS = 4
+TURNS = 2
+#: Numbers of sets: how much of a set is shared by nobody, then a running number.
+LOW_BITS = (1 << 55) - 1
+FLIP = 0x2545F4914F6CDD
 #: Set numbers from here on say how many sets of one task share the n-gram.
 SEVERAL = GROUP_ROWS
 KEPT_BITS = ~np.uint64(0xFF)
 
 PACKED = "route long, fragment int, group_id long, high binary, low binary, sets binary, codes binary"
 PARTS = "kind string, doc_id long, n long, sig binary, grams binary, codes binary"
-SETS = "sig binary, n long, segments array<binary>, prefix array<long>"
+SETS = "sig binary, n long, m long, segments array<binary>, prefix array<long>"
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -291,11 +297,11 @@ def _distinct_sets(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
                 grams = np.sort(grams)
                 cuts = [*np.searchsorted(grams, bounds).tolist(), len(grams)]
                 segments = [grams[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]
-                out.append((sig, n, segments, prefix))
+                out.append((sig, n, len(grams), segments, prefix))
             if out:
-                kinds = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["sig", "n", "segments", "prefix"]
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["sig", "n", "m", "segments", "prefix"]
                 )
 
     return once.select("sig", "copies", "n", "own.grams", "own.codes").mapInArrow(run, SETS)
@@ -321,52 +327,63 @@ def _overlaps(both: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sizes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link, by partial overlaps summed over the fragments."""
     n = lambda side: sizes.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"))
-    sized = pairs.join(n("a"), "a").join(n("b"), "b")
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    sized = write_table(sized.filter(100 * least >= percent * most), "ngram-pairs")
     one = segments.select(F.col("sid").alias("a"), "fragment", F.col("segment").alias("one"))
     two = segments.select(F.col("sid").alias("b"), "fragment", F.col("segment").alias("two"))
-    both = sized.select("a", "b").join(one, "a").join(two, ["b", "fragment"])
+    both = pairs.join(one, "a").join(two, ["b", "fragment"])
     total = _overlaps(both).groupBy("a", "b").agg(F.sum("part").alias("common"))
-    summed = sized.join(total, ["a", "b"])
+    summed = total.join(n("a"), "a").join(n("b"), "b")
     linked = summed.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
     return write_table(linked.select("a", "b"), "ngram-links")
 
 
 def _apart(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings, with the ``root`` of each set, of n-grams whose sets are not all connected."""
-    named = postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    named = write_table(
-        named.select("gram", "sid", F.coalesce("root", "sid").alias("root")), "ngram-postings"
-    )
+    named = postings.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.withColumn("root", F.coalesce("root", "sid"))
+    named = write_table(named, "ngram-postings")
     spans = named.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return named.join(spans.filter("low <> high").select("gram"), "gram", "left_semi")
 
 
+def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of sets under one n-gram that are apart and may link.
+
+    With ``least`` n-grams to have in common, their first common one is among the first
+    ``n - least + 1`` of either set.
+    """
+    one = left.select("gram", *(F.col(c).alias(f"{c}_1") for c in ("sid", "n", "m", "place", "root")))
+    two = right.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("sid", "n", "m", "place", "root")))
+    least = F.ceil(percent * (F.col("n_1") + F.col("n_2")) / (100 + percent))
+    early = (F.col("place_1") <= F.col("n_1") - least) & (F.col("place_2") <= F.col("n_2") - least)
+    on = (F.col("root_1") != F.col("root_2")) & (F.least("m_1", "m_2") >= least) & early
+    met = one.join(two.withColumnRenamed("gram", "other"), (F.col("gram") == F.col("other")) & on)
+    return met.select(F.least("sid_1", "sid_2").alias("a"), F.greatest("sid_1", "sid_2").alias("b")).distinct()
+
+
 def join_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of the sets (``sid, n, segments, prefix``) that link with another one."""
-    postings = write_table(sets.select(F.explode("prefix").alias("gram"), "sid"), "ngram-postings")
+    """``node, root`` of the sets (``sid, n, m, segments, prefix``) that link with another one.
+
+    ``m`` is how many of its ``n`` n-grams a set shares with any other one.
+    """
+    # places count from 0, after the n-grams that no other set has
+    place = F.col("at") + F.col("n") - F.col("m")
+    postings = sets.select(F.posexplode("prefix").alias("at", "gram"), "sid", "n", "m")
+    postings = postings.select("gram", "sid", "n", "m", place.alias("place"), F.col("sid").alias("root"))
+    postings = write_table(postings, "ngram-postings")
     sizes = sets.select("sid", "n")
     segments = sets.select("sid", F.posexplode("segments").alias("fragment", "segment"))
     segments = segments.filter(F.octet_length("segment") > 0)
-    # one set of each n-gram, first the smallest, then another one, speaks for it
-    roots = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    for speaker in (F.min("sid"), F.max("sid")):
-        open_postings = postings if roots is None else _apart(postings, roots)
-        spoken = open_postings.groupBy("gram").agg(speaker.alias("b"), F.count(F.lit(1)).alias("size"))
-        pairs = open_postings.join(spoken.filter("size > 1"), "gram").filter("sid <> b")
-        if roots is not None:
-            other = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = pairs.join(other, "b", "left").filter(F.col("root") != F.coalesce("root_b", "b"))
-        pairs = pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
+    apart = postings
+    for turn in range(TURNS):
+        # one set of each n-gram speaks for it: the least number, after a flip of bits
+        flip = F.lit((turn << 55) | (turn * FLIP & LOW_BITS))
+        spoken = apart.groupBy("gram").agg(F.min(F.col("sid").bitwiseXOR(flip)).bitwiseXOR(flip).alias("sid"))
+        pairs = _meeting(apart, apart.join(spoken, ["gram", "sid"]), percent)
         links, tested, roots = _settle(pairs, links, tested, sizes, segments, percent)
-    named = _apart(postings, roots)
-    one = named.select("gram", F.col("sid").alias("a"), F.col("root").alias("root_a"))
-    two = named.select("gram", F.col("sid").alias("b"), F.col("root").alias("root_b"))
-    rest = one.join(two, "gram").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    return _settle(rest, links, tested, sizes, segments, percent)[2]
+        apart = _apart(postings, roots)
+    return _settle(_meeting(apart, apart, percent), links, tested, sizes, segments, percent)[2]
 
 
 def _settle(pairs, links, tested, sizes, segments, percent) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -399,7 +416,9 @@ def near_duplicates(
     docs = read_parts(spark, parts, path, "kind", "doc").select("doc_id", "n", "sig")
     sets = read_parts(spark, parts, path, "kind", "set").select("n", "sig", "grams", "codes")
     sets = _distinct_sets(sets, percent, VERIFY_FRAGMENTS)
-    sets = write_table(sets.withColumn("sid", F.monotonically_increasing_id()), "ngram-sets")
+    own = F.floor((F.col("n") - F.col("m")) * 255 / F.col("n")).cast("long")
+    number = F.shiftleft(own, 55) + F.monotonically_increasing_id()
+    sets = write_table(sets.withColumn("sid", number), "ngram-sets")
     roots = join_sets(sets, percent)
     named = sets.select("sid", "sig").join(roots.withColumnRenamed("node", "sid"), "sid")
     names = sets.select(F.col("sid").alias("root"), F.col("sig").alias("class"))
@@ -408,7 +427,8 @@ def near_duplicates(
     full = write_table(
         full.select("doc_id", "n", F.coalesce("class", "sig").alias("class")), "ngram-classes"
     )
-    least = full.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # written, so that a class of very many rows can be split in the join
+    least = write_table(full.groupBy("class").agg(F.min("doc_id").alias("component_id")), "ngram-least")
     linked = full.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
