@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from outcome_risk.llm import decontaminate, language, line_dedup, ngram_join
-from outcome_risk.llm.queries import documents, encoded_and_decoded, table, vocabulary_path
+from outcome_risk.llm import bpe, decontaminate, language, line_dedup, ngram_join
+from outcome_risk.llm.queries import documents, table, vocabulary_path
 from outcome_risk.llm.storage import write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +50,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
-    return encoded_and_decoded(docs, vocabulary_path())
+    return bpe.round_trip(docs.select("doc_id", "text"), vocabulary_path())
 
 
 STAGES = [

@@ -13,6 +13,7 @@ replaced. Decoding skips null and unknown ids, and invalid UTF-8 becomes U+FFFD.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from array import array
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter
 
 IDS_PER_BATCH = 1 << 20
-PAIRS_KEPT = 300_000
+PAIRS_KEPT = 200_000
 PIECES_KEPT = 50_000
 SHORT = 32
 
@@ -69,6 +70,7 @@ class Vocabulary:
         for number, text in self.text.items():
             if len(text) == 1 and number not in self.parts:
                 self.bytes[text[0]] = number
+        self.table: dict[int, bytes] = {}
         #: Strings that alone encode as one token, proven by merging each of them.
         self.whole = {text: number for number, text in self.text.items() if self.merge(text) == [number]}
 
@@ -130,6 +132,17 @@ class Vocabulary:
                     heapq.heappush(heap, (rank, a, made, pair))
         return [i for i in ids if i is not None]
 
+    def decode(self, ids: list) -> str:
+        """The text of token ids; null and unknown ones are skipped."""
+        if not self.table:
+            self.table = {number: s.encode("utf-8") for s, number in self.special.items()} | self.text
+        found = map(self.table.get, ids)
+        try:
+            raw = b"".join(found)
+        except TypeError:
+            raw = b"".join(text for text in map(self.table.get, ids) if text)
+        return raw.decode("utf-8", "replace")
+
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are not merged across their border.
 
@@ -263,24 +276,38 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        table = dict(vocabulary.text)
-        table.update({number: s.encode("utf-8") for s, number in vocabulary.special.items()})
-        get = table.get
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            texts = []
-            for value in lists:
-                numbers = value.values
-                if numbers is None:
-                    texts.append("")
-                    continue
-                found = map(get, numbers.to_pylist())
-                try:
-                    raw = b"".join(found)
-                except TypeError:
-                    raw = b"".join(get(n) or b"" for n in numbers.to_pylist())
-                texts.append(raw.decode("utf-8", "replace"))
+            texts = [vocabulary.decode(value.as_py() or []) for value in lists]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*kept, text])
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Encode every text and decode its ids again, in one pass that ships neither.
+
+    Replaces ``text`` by ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas)
+    and ``decoded_sha256`` (of the decoded text in UTF-8).
+    """
+    shared = broadcast_vocabulary(df.sparkSession, path)
+    added = ("n_tokens", "ids_sha256", "decoded_sha256")
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (*added, text)])
+    kept = schema.names
+    schema = schema.add("n_tokens", T.LongType()).add("ids_sha256", "string").add("decoded_sha256", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, encoder = shared.value, encoder_of(shared.value)
+        for batch in batches:
+            counts, digests, decoded = [], [], []
+            for value in batch.column(batch.schema.get_field_index(text)):
+                ids = np.frombuffer(encoder.encode(value.as_py()), dtype=np.uint32).tolist()
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(vocabulary.decode(ids).encode("utf-8")).hexdigest())
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            columns += [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
+
+    return df.mapInArrow(run, schema)

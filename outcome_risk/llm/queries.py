@@ -27,20 +27,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids of every document, and of the text decoded from them."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, keep_text=False)
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
-
-
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_and_decoded(documents(spark, sf_dir), vocabulary_path())
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path())
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
