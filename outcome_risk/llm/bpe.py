@@ -294,7 +294,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     shared = broadcast_vocabulary(df.sparkSession, path)
     added = ("n_tokens", "ids_sha256", "decoded_sha256")
     schema = T.StructType([f for f in df.schema.fields if f.name not in (*added, text)])
-    kept = schema.names
+    kept = list(schema.names)
     schema = schema.add("n_tokens", T.LongType()).add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
