@@ -42,7 +42,7 @@ from outcome_risk.llm.textscan import SPACED, gram_hashes, mix, text_slices, wor
 
 SIZE = 5
 PERCENT = 75
-GROUP_GRAMS = 2_000_000
+GROUP_GRAMS = 1_000_000
 GROUP_ROWS = 60_000
 FRAGMENT_GRAMS = 1_000_000
 VERIFY_FRAGMENTS = 4

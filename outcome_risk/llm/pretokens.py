@@ -63,6 +63,7 @@ class Remembered(dict):
         if value is None:
             value = self.compute(key)
         if len(self) >= self.kept:
+            self.old = {}  # freed first, so that there are never three generations
             self.old = dict(self)
             self.clear()
         self[key] = value
