@@ -11,6 +11,8 @@ from outcome_risk.roles import quoted
 # The two texts of a yes/no outcome.
 POSITIVE_TEXT = "Yes"
 NEGATIVE_TEXT = "No"
+# Spellings that Java reads as a number and nobody else does: 5d, 2F, 0x1p3.
+JAVA_ONLY = r"(?i)[0-9.][df]\s*$|0x"
 
 
 def half_even(value: Column, digits: int) -> Column:
@@ -35,7 +37,7 @@ def lenient_target(df: DataFrame, name: str) -> Column:
         return (
             F.when(value == POSITIVE_TEXT, 1.0)
             .when(value == NEGATIVE_TEXT, 0.0)
-            .otherwise(value.try_cast("double"))
+            .otherwise(parsed_number(value))
         )
     return without_nan(value.cast("double"))
 
@@ -65,9 +67,14 @@ def number(df: DataFrame, name: str) -> Column:
     return without_nan(quoted(name).cast("double"))
 
 
+def parsed_number(value: Column, kind: str = "double") -> Column:
+    """The number a text spells, null where it spells none; type suffixes are no part of one."""
+    return F.when(~value.cast("string").rlike(JAVA_ONLY), value.try_cast(kind))
+
+
 def cast_or_default(value: Column, default: float = 0.0) -> Column:
     """Parse a number, or the default where the text is none."""
-    return F.coalesce(value.try_cast("double"), F.lit(default))
+    return F.coalesce(parsed_number(value), F.lit(default))
 
 
 def drop_nulls(df: DataFrame, name: str) -> DataFrame:

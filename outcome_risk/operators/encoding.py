@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outcome_risk.functions.values import strict_target
-from outcome_risk.roles import Roles, column_families, drop_columns, quoted
+from outcome_risk.roles import CANDIDATES, Roles, column_families, drop_columns, quoted
 from outcome_risk.storage import write_table
 
 # Fixed value: the class that stands for a missing text.
@@ -77,30 +77,44 @@ def apply_encoder(
     return df
 
 
-def categorical_features(df: DataFrame, target: str | None) -> list[str]:
-    families = column_families(drop_columns(df), target)
+def row_names(roles: Roles, key: str | None = None) -> list[str]:
+    """An id or key of the user's own choice: it names rows and is no feature."""
+    return [c for c in dict.fromkeys([roles.id, key]) if c and c not in CANDIDATES["id"]]
+
+
+def categorical_features(
+    df: DataFrame, target: str | None, names: list[str] | None = None
+) -> list[str]:
+    """Text columns left after dropping the fixed ones and ``names``."""
+    families = column_families(drop_columns(df).drop(*[quoted(c) for c in names or []]), target)
     return [c for c, family in families.items() if family == "categorical"]
 
 
-def feature_columns(df: DataFrame, roles: Roles) -> list[str]:
-    """Every column left after dropping, target excluded, in table order."""
-    return [c for c in drop_columns(df).columns if c != roles.target]
+def feature_columns(df: DataFrame, roles: Roles, key: str | None = None) -> list[str]:
+    """Every column left after dropping, target and row names excluded, in table order."""
+    others = [roles.target, *row_names(roles, key)]
+    return [c for c in drop_columns(df).columns if c not in others]
 
 
 def stored_encoder(df: DataFrame, names: list[str]) -> DataFrame:
     return write_table(fit_encoder(df, names), "encoder")
 
 
-def prepare(df: DataFrame, roles: Roles, encoder: DataFrame) -> DataFrame:
+def prepare(
+    df: DataFrame, roles: Roles, encoder: DataFrame, key: str | None = None
+) -> DataFrame:
     """Numeric copy: strict target, label codes, dropped columns gone.
 
-    The row as it was stays in the struct column ``raw`` and its id in ``entity``, so
-    that reports need no join to get back to it; unused, both are pruned.
+    The row as it was stays in the struct column ``raw`` and its key (the id unless
+    another column is named) in ``entity``, so that reports need no join to get back to
+    it; unused, both are pruned.
     """
+    names = row_names(roles, key)
     kept = df.withColumn("raw", F.struct(*[quoted(c) for c in df.columns]))
-    if roles.id:
-        kept = kept.withColumn("entity", quoted(roles.id))
-    coded = apply_encoder(drop_columns(kept), encoder, categorical_features(df, roles.target))
+    if key or roles.id:
+        kept = kept.withColumn("entity", quoted(key or roles.id))
+    kept = drop_columns(kept).drop(*[quoted(c) for c in names if c != "entity"])
+    coded = apply_encoder(kept, encoder, categorical_features(df, roles.target, names))
     if roles.target:
         coded = coded.withColumn(roles.target, strict_target(coded, roles.target))
     return coded

@@ -20,7 +20,9 @@ from outcome_risk.storage import write_table
 GRID_PER_LOG = 512
 GRID_LIMIT = 1e6
 FINE_CELLS = 4096
-BROADCAST_ROWS = 500_000
+# Largest table of ranks that is broadcast, and what a row takes besides its keys.
+BROADCAST_BYTES = 8 << 20
+RANK_BYTES = 128
 
 
 def coarse_bucket(value: Column) -> Column:
@@ -69,7 +71,7 @@ def order_statistics(
         source = source.filter(F.col(name).isNotNull())
     source = source.filter(~F.isnan("v")).withColumn("coarse", coarse_bucket(F.col("v")))
 
-    histogram, hint = _first_cells(source, group, few_keys or not keys)
+    histogram, hint = _first_cells(source, group, len(ranks), few_keys or not keys)
     sized = histogram.withColumn("size", F.sum("n").over(W.partitionBy(*group)))
     wanted = F.explode(
         F.array(
@@ -118,7 +120,7 @@ def order_statistics(
     return found if keys else found.drop("_all")
 
 
-def _first_cells(source: DataFrame, group: list[str], few_keys: bool):
+def _first_cells(source: DataFrame, group: list[str], ranks: int, few_keys: bool):
     """Histogram on the fixed grid, and how tables of its size are to be joined."""
     histogram = (
         source.groupBy(*group, "coarse")
@@ -127,8 +129,13 @@ def _first_cells(source: DataFrame, group: list[str], few_keys: bool):
     if few_keys:
         return histogram, F.broadcast
     histogram = write_table(histogram, "histogram")
-    small = histogram.count() <= BROADCAST_ROWS
-    return histogram, (F.broadcast if small else lambda table: table)
+    # A table of ranks has one row per group and rank, as wide as its keys.
+    width = sum((F.octet_length(F.col(g).cast("string")) for g in group), F.lit(0))
+    groups = histogram.select(*group).distinct().agg(
+        F.count("*").alias("n"), F.coalesce(F.max(width), F.lit(0)).alias("widest")
+    ).first()
+    size = groups["n"] * ranks * (groups["widest"] + RANK_BYTES)
+    return histogram, (F.broadcast if size <= BROADCAST_BYTES else lambda table: table)
 
 
 # The two middle ranks; their mean is the median.

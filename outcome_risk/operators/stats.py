@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,11 @@ from outcome_risk.functions.values import half_even, lenient_target, number
 from outcome_risk.operators.ranking import order_statistics
 from outcome_risk.roles import Roles, empty, quoted
 
-# Widest correlation matrix, rows shown per class.
+# Columns of a chosen correlation matrix, rows shown per class.
 MATRIX_COLUMNS = 20
 HEAD_ROWS = 200
+# Pairs per aggregate: those of twenty columns.
+PAIR_BLOCK = 210
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -25,9 +28,16 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
-    """``row_name, col_name, corr`` of all pairs: one aggregate, then mirrored."""
+    """``row_name, col_name, corr`` of all pairs, mirrored: one aggregate per block of pairs."""
     pairs = list(combinations_with_replacement(names, 2))
+    if not pairs:
+        return empty(df, "row_name string, col_name string, corr double")
     values = df.select(*[number(df, c).alias(c) for c in names])
+    blocks = [pairs[i : i + PAIR_BLOCK] for i in range(0, len(pairs), PAIR_BLOCK)]
+    return reduce(DataFrame.unionByName, [_correlations(values, block) for block in blocks])
+
+
+def _correlations(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     once = values.agg(
         *[pearson(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     )
@@ -78,11 +88,14 @@ def top_corr_columns(
     )
 
 
-def matrix_columns(df: DataFrame, names: list[str], target: str | None) -> list[str]:
-    """At most twenty column names for the matrix."""
-    if len(names) <= MATRIX_COLUMNS:
+def matrix_columns(
+    df: DataFrame, names: list[str], target: str | None, limit: int | None = None
+) -> list[str]:
+    """Column names for the matrix: all, or the ``limit`` best by ``top_corr_columns``."""
+    if limit is None or len(names) <= limit:
         return names
-    return [r["column"] for r in top_corr_columns(df, names, target).orderBy("rank").collect()]
+    best = top_corr_columns(df, names, target, limit)
+    return [r["column"] for r in best.orderBy("rank").collect()]
 
 
 # Positions of the five numbers in the sorted values.

@@ -32,12 +32,12 @@ log = logging.getLogger(__name__)
 FOREST, BOOSTED, LOGISTIC = "Random Forest", "Boosted Trees", "Logistic Regression"
 
 # Search spaces, settings drawn per model, iterations and tolerance.
-# A forest without depth limit becomes one of depth 15; a minimum size for splitting a
+# A forest without depth limit becomes one of depth 30, Spark's largest; a minimum size for splitting a
 # node has no counterpart in Spark and is left out.
 SEARCH_SPACES = {
     FOREST: {
         "numTrees": [100, 200, 300],
-        "maxDepth": [15, 5, 10],
+        "maxDepth": [30, 5, 10, 15],
         "minInstancesPerNode": [1, 2, 4],
     },
     BOOSTED: {
@@ -77,13 +77,18 @@ def estimator_for(name: str, weighted: bool = False, seed: int = SEED):
     )
 
 
-def param_maps(estimator, settings: list[dict], rows: int) -> list[dict]:
-    """Translate settings to Spark parameters; C becomes 1 / (C · rows)."""
+def loss_weight(df: DataFrame, weighted: bool) -> float:
+    """What Spark divides the loss by: the sum of weights, or the number of rows."""
+    return df.agg(F.sum("weight").alias("w")).first()["w"] or 0.0 if weighted else float(df.count())
+
+
+def param_maps(estimator, settings: list[dict], total: float) -> list[dict]:
+    """Translate settings to Spark parameters; C becomes 1 / (C · total weight)."""
     maps = []
     for setting in settings:
         params = dict(setting)
         if "C" in params:
-            params["regParam"] = 1.0 / (params.pop("C") * max(rows, 1))
+            params["regParam"] = 1.0 / (params.pop("C") * max(total, 1e-9))
         maps.append({estimator.getParam(k): v for k, v in params.items()})
     return maps
 
@@ -118,7 +123,7 @@ def random_search_cv(
     estimator = estimator_for(name, weighted, seed)
     totals = [0.0] * len(settings)
     for inner, outer in folds:
-        maps = param_maps(estimator, settings, inner.count())
+        maps = param_maps(estimator, settings, loss_weight(inner, weighted))
 
         def run(params: dict) -> float:
             return f1_score(estimator.fit(inner, params).transform(outer))
@@ -127,7 +132,7 @@ def random_search_cv(
             for i, score in enumerate(pool.map(run, maps)):
                 totals[i] += score / len(folds)
     best = max(range(len(settings)), key=lambda i: totals[i])
-    params = param_maps(estimator, [settings[best]], whole.count())[0]
+    params = param_maps(estimator, [settings[best]], loss_weight(whole, weighted))[0]
     return estimator.fit(whole, params), totals
 
 
@@ -144,7 +149,7 @@ def balanced_pairs(
     """The same, with oversampling inside each training part, so nothing leaks."""
     pairs = []
     for inner, outer in fold_pairs(folded):
-        enlarged = smote(inner, "label", "entity", features, seed)
+        enlarged = smote(inner, "label", "entity", features, seed, checked=True)
         pairs.append(
             (
                 write_table(learnable(enlarged, features, weight), "fold"),
@@ -251,10 +256,7 @@ def check_features(df: DataFrame, features: list[str], on_null: str = "error") -
     """Cast features to double; missing values raise, or become the column's median."""
     ready = df.withColumns({f: number(df, f) for f in features})
     if on_null == "median":
-        medians = {r["feature"]: r["median"] for r in fill_values(ready, features, []).collect()}
-        return ready.withColumns(
-            {f: F.coalesce(quoted(f), F.lit(m)) for f, m in medians.items() if f in features}
-        )
+        return fill_gaps(ready, features, ready)
     gaps = ready.agg(*[F.count_if(quoted(f).isNull()) for f in features]).first()
     missing = [f for f, rows in zip(features, gaps) if rows]
     if missing:
@@ -262,6 +264,16 @@ def check_features(df: DataFrame, features: list[str], on_null: str = "error") -
     return ready
 
 
+def fill_gaps(df: DataFrame, features: list[str], known: DataFrame) -> DataFrame:
+    """Replace missing features by the medians of ``known``; raise where it has no value."""
+    found = fill_values(known, features, []).collect()
+    medians = {r["feature"]: r["median"] for r in found}
+    unknown = [f for f in features if medians.get(f) is None]
+    if unknown:
+        raise ValueError(f"features without any value: {unknown}")
+    return df.withColumns({f: F.coalesce(quoted(f), F.lit(medians[f])) for f in features})
+
+
 def train(
     encoded: DataFrame,
     label: str,
@@ -280,26 +292,31 @@ def train(
 
     ``balance`` is "smote", "weight" or "both" (oversampled rows and, for the boosted
     trees, the weight of the original classes). ``cv_balance`` cuts the folds after
-    oversampling ("before") or oversamples inside each fold ("inside").
+    oversampling ("before") or oversamples inside each fold ("inside"). ``entity`` must be
+    complete and unique. ``on_null="median"`` takes the medians of the training part.
     """
     names = models or [FOREST, BOOSTED, LOGISTIC]
     spaces = spaces or SEARCH_SPACES
     draws = draws or DRAWS
     status: dict[str, str] = {}
 
-    # Stored, as the split looks several times at the label and the id.
-    ready = check_features(encoded, features, on_null).select(
+    # Stored, as the checks and the split look several times at it.
+    ready = encoded.select(
         quoted(entity).alias("entity"),
         quoted(label).cast("int").alias("label"),
-        *[quoted(f) for f in features],
+        *[number(encoded, f).alias(f) for f in features],
     )
     ready = write_table(ready, "encoded")
+    if on_null != "median":
+        check_features(ready, features)
     split = write_table(stratified_split(ready, "label", "entity", seed), "split")
+    if on_null == "median":
+        split = write_table(fill_gaps(split, features, split.filter("split = 'train'")), "filled")
     part = {s: split.filter(F.col("split") == s).drop("split") for s in ("train", "cal", "test")}
 
     oversampled = balance in ("smote", "both")
     if oversampled:
-        balanced = smote(part["train"], "label", "entity", features, seed)
+        balanced = smote(part["train"], "label", "entity", features, seed, checked=True)
     else:
         balanced = part["train"].withColumn("synthetic", F.lit(False))
     weight = class_weight(part["train"], "label").first()["weight"]

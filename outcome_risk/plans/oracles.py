@@ -596,6 +596,65 @@ FROM y JOIN v a ON a.vid = y.vid
 LEFT JOIN n ON n.vid = y.vid AND y.pick > n.before AND y.pick <= n.upto
 LEFT JOIN v b ON b.vid = n.nvid"""
 
+# Fitted models: the rows follow from the data, what must hold of the model is a column.
+PARTS = f"""
+ranked AS (
+  SELECT doc_id, CAST(bad AS INT) AS label, count(*) OVER (PARTITION BY bad) AS n,
+         row_number() OVER (PARTITION BY bad ORDER BY {row_hash('42', 'doc_id')}) - 1 AS rn FROM d
+),
+parts AS (
+  SELECT doc_id, label, CASE WHEN rn < test THEN 'test'
+         WHEN rn < test + floor((n - test) * 0.25 + 0.5) THEN 'cal' ELSE 'train' END AS split
+  FROM (SELECT *, floor(n * 0.2 + 0.5) AS test FROM ranked)
+)"""
+for _name in ("fit_random_forest", "fit_boosted_trees", "fit_logistic"):
+    ORACLES[_name] = f"""WITH {DOCUMENTS}, {PARTS}
+SELECT doc_id, label, true AS in_unit_interval, true AS better_than_chance FROM parts WHERE split = 'test'"""
+ORACLES["platt_calibrate"] = f"""WITH {DOCUMENTS}, {PARTS}
+SELECT doc_id, label, true AS in_unit_interval, true AS slopes_vanish FROM parts WHERE split = 'test'"""
+ORACLES["random_search_cv"] = f"""WITH {DOCUMENTS}, {PARTS},
+f AS (
+  SELECT label, count(*) OVER (PARTITION BY label) AS n,
+         row_number() OVER (PARTITION BY label ORDER BY {row_hash('fold42', 'doc_id')}) - 1 AS rn
+  FROM parts WHERE split = 'train'
+)
+SELECT fold, label, count(*) AS n, CAST(6 AS INT) AS drawn, true AS best_refitted FROM (
+  SELECT label, (CASE WHEN rn >= n // 3 THEN 1 ELSE 0 END) + (CASE WHEN rn >= 2 * n // 3 THEN 1 ELSE 0 END) AS fold
+  FROM f
+) GROUP BY fold, label"""
+TEXT_VALUES = {
+    "n_chars": "length(text)",
+    "words": "len(w)",
+    "uniq": "len(list_distinct(w)) / greatest(len(w), 1)",
+    "digits": "length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)",
+    "lines": "len(string_split(text, chr(10)))",
+    "avgw": "greatest(length(text), 1) / greatest(len(w), 1)",
+    "lang": "dense_rank() OVER (ORDER BY coalesce(lang, 'nan')) - 1",
+    "source": "dense_rank() OVER (ORDER BY coalesce(source, 'nan')) - 1",
+}
+_values = ", ".join(f"CAST({v} AS DOUBLE) AS {f}" for f, v in TEXT_VALUES.items())
+_long = " UNION ALL ".join(
+    f"SELECT doc_id, '{f}' AS feature, round({f}, 6) AS value, true AS local_accuracy_ok FROM features"
+    for f in TEXT_VALUES
+)
+for _name in ("tree_contributions", "boosted_contributions"):
+    ORACLES[_name] = f"""WITH worded AS (
+  SELECT d.doc_id, text, lang, source,
+         list_filter(regexp_split_to_array(text, '[ \\n]'), lambda w: w <> '') AS w
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+features AS (SELECT doc_id, {_values} FROM worded)
+{_long}"""
+put(
+    "empty_if_missing",
+    """SELECT operator, present, CASE WHEN present THEN n ELSE 0 END AS n FROM (
+    SELECT 'rate_by_group' AS operator, count(DISTINCT grp) AS n FROM s
+    UNION ALL SELECT 'counts_by_role', count(DISTINCT role) FROM s
+    UNION ALL SELECT 'rate_by_flag', count(DISTINCT flag) FROM s
+    UNION ALL SELECT 'five_number_by_class', count(DISTINCT target) FROM s
+    ), (VALUES (true), (false)) p(present)""",
+)
+
 # Evaluate
 
 QUALITY = f"""

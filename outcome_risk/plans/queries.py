@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -453,11 +455,11 @@ def _training_rows(spark, sf_dir):
     return write_table(splitting.stratified_split(ready, "label", "entity"), "split"), features
 
 
-SMALL_SETTINGS = {
-    training.FOREST: {"numTrees": 20, "maxDepth": 5},
-    training.BOOSTED: {"maxIter": 10, "maxDepth": 3},
-    training.LOGISTIC: {"C": 1.0},
-}
+SETTINGS = {name: {k: v[1] for k, v in space.items()} for name, space in training.SEARCH_SPACES.items()}
+SETTINGS[training.LOGISTIC] = {"C": 1.0}
+# The second value of every dimension but the number of trees and rounds, which is the first.
+SETTINGS[training.FOREST]["numTrees"] = training.SEARCH_SPACES[training.FOREST]["numTrees"][0]
+SETTINGS[training.BOOSTED]["maxIter"] = training.SEARCH_SPACES[training.BOOSTED]["maxIter"][0]
 
 
 def _fit(name, spark, sf_dir):
@@ -467,7 +469,7 @@ def _fit(name, spark, sf_dir):
     weighted = name == training.BOOSTED
     ready = training.learnable(rows, features, weight)
     estimator = training.estimator_for(name, weighted)
-    maps = training.param_maps(estimator, [SMALL_SETTINGS[name]], ready.count())
+    maps = training.param_maps(estimator, [SETTINGS[name]], training.loss_weight(ready, weighted))
     return estimator.fit(ready, maps[0]), split, features
 
 
@@ -477,49 +479,90 @@ def _test_scores(model, name, split, features, part="test"):
     return scored.select(F.lit(name).alias("model"), "entity", "label", "prob")
 
 
-def _fitted_metrics(name, spark, sf_dir):
+def _fitted_rows(name, spark, sf_dir):
+    """The test rows; whether each score is a probability, and whether the model has learnt."""
     model, split, features = _fit(name, spark, sf_dir)
-    return evaluate.evaluate(_test_scores(model, name, split, features))
+    scored = write_table(_test_scores(model, name, split, features), "fitted")
+    auc = evaluate.evaluate(scored).first()["auc_roc"]
+    return scored.select(
+        F.col("entity").alias("doc_id"),
+        F.col("label").cast("int").alias("label"),
+        F.coalesce(F.col("prob").between(0.0, 1.0), F.lit(False)).alias("in_unit_interval"),
+        F.lit(auc is not None and auc > 0.5).alias("better_than_chance"),
+    )
 
 
 @query
 def fit_random_forest(spark, sf_dir):
-    return _fitted_metrics(training.FOREST, spark, sf_dir)
+    return _fitted_rows(training.FOREST, spark, sf_dir)
 
 
 @query
 def fit_boosted_trees(spark, sf_dir):
-    return _fitted_metrics(training.BOOSTED, spark, sf_dir)
+    return _fitted_rows(training.BOOSTED, spark, sf_dir)
 
 
 @query
 def fit_logistic(spark, sf_dir):
-    return _fitted_metrics(training.LOGISTIC, spark, sf_dir)
+    return _fitted_rows(training.LOGISTIC, spark, sf_dir)
 
 
 @query
 def random_search_cv(spark, sf_dir):
+    """Rows per fold and class, and whether the refitted setting is the best of all drawn."""
     split, features = _training_rows(spark, sf_dir)
     rows = splitting.stratified_folds(split.filter("split = 'train'"), "label", "entity")
-    ready = training.learnable(write_table(rows, "folds"), features, None)
-    space = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 4]}
-    settings = training.drawn_settings(space, 3)
-    _, scores = training.random_search_cv(
-        training.FOREST, training.fold_pairs(ready), ready, settings
+    folded = write_table(rows, "folds")
+    ready = training.learnable(folded, features, None)
+    name = training.LOGISTIC
+    settings = training.drawn_settings(training.SEARCH_SPACES[name], training.DRAWS[name])
+    model, scores = training.random_search_cv(name, training.fold_pairs(ready), ready, settings)
+    best = settings[max(range(len(settings)), key=scores.__getitem__)]
+    total = training.loss_weight(ready, False)
+    refitted = abs(model.getOrDefault("regParam") * best["C"] * total - 1.0) < 1e-9
+    return folded.groupBy("fold", F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("n"),
+        F.lit(len(settings)).cast("int").alias("drawn"),
+        F.lit(refitted).alias("best_refitted"),
     )
-    rows = [(i, str(s), float(f1)) for i, (s, f1) in enumerate(zip(settings, scores))]
-    return spark.createDataFrame(rows, "setting int, params string, f1 double")
 
 
 @query
 def platt_calibrate(spark, sf_dir):
+    """The test rows, and whether the slopes of the smoothed likelihood vanish at the fit."""
     model, split, features = _fit(training.LOGISTIC, spark, sf_dir)
     raw = training.raw_score(model).alias("score")
     cal = model.transform(training.assemble(split.filter("split = 'cal'"), features))
-    sigmoid = training.platt_calibrate(cal.select("label", raw))
+    cal = write_table(cal.select("label", raw), "margins")
+    sigmoid = training.platt_calibrate(cal)
+    positive = F.col("label") == 1
+    sizes = cal.agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).first()
+    target = F.when(positive, (sizes["pos"] + 1.0) / (sizes["pos"] + 2.0)).otherwise(1.0 / (sizes["neg"] + 2.0))
+    miss = sigmoid.apply(F.col("score")) - target
+    spread = F.greatest(F.stddev_pop("score"), F.lit(1.0))
+    slopes = cal.agg(F.avg(miss).alias("a"), (F.avg(miss * F.col("score")) / spread).alias("b")).first()
     test = model.transform(training.assemble(split.filter("split = 'test'"), features))
-    scored = test.select("entity", "label", raw)
-    return scored.withColumn("prob", sigmoid.apply(F.col("score")))
+    return test.select("entity", "label", raw).select(
+        F.col("entity").alias("doc_id"),
+        F.col("label").cast("int").alias("label"),
+        sigmoid.apply(F.col("score")).between(0.0, 1.0).alias("in_unit_interval"),
+        F.lit(max(abs(slopes["a"]), abs(slopes["b"])) < 1e-4).alias("slopes_vanish"),
+    )
+
+
+@query
+def empty_if_missing(spark, sf_dir):
+    """Rows of operators over the table with, and without, the columns they look for."""
+    df, _ = _hr(spark, sf_dir)
+    cases = []
+    for make, column in ((rates.rate_by_group, "Department"), (rates.counts_by_role, "JobRole"),
+                         (rates.rate_by_flag, "OverTime"), (stats.five_number_by_class, "MonthlyIncome")):
+        for present, given in ((True, df), (False, df.drop(column))):
+            made = make(given, resolve_roles(given.columns))
+            cases.append(made.agg(
+                F.lit(make.__name__).alias("operator"), F.lit(present).alias("present"), F.count("*").alias("n")
+            ))
+    return functools.reduce(DataFrame.unionByName, cases)
 
 
 @query
@@ -657,22 +700,29 @@ def fixed_tree_contributions(spark, sf_dir):
     return _rounded(explain.long_contributions(explained, "EmployeeNumber"), 6, "contribution")
 
 
+def _model_contributions(name, spark, sf_dir):
+    """Every feature of every row, and whether its contributions add up to the output."""
+    model, split, features = _fit(name, spark, sf_dir)
+    leaves = explain.ensemble_leaves(spark, model)
+    boosted = name == training.BOOSTED
+    scored = model.transform(training.assemble(split.select("entity", *features), features))
+    raw = vector_to_array("rawPrediction" if boosted else "probability")[1]
+    rows = scored.select("entity", *features, (raw * (2.0 if boosted else 1.0)).alias("output"))
+    explained = explain.tree_contributions(rows, leaves, features, "any")
+    total = F.aggregate("contributions", F.col("base"), lambda t, c: t + c["contribution"])
+    exact = explained.withColumn("local_accuracy_ok", F.abs(total - F.col("output")) < 1e-6)
+    long = exact.select(F.col("entity").alias("doc_id"), "local_accuracy_ok", F.inline("contributions"))
+    return _rounded(long.drop("contribution"), 6, "value")
+
+
 @query
 def tree_contributions(spark, sf_dir):
-    model, split, features = _fit(training.FOREST, spark, sf_dir)
-    leaves = explain.ensemble_leaves(spark, model)
-    rows = split.select("entity", *features)
-    explained = explain.tree_contributions(rows, leaves, features, "probability")
-    return explain.long_contributions(explained, "entity")
+    return _model_contributions(training.FOREST, spark, sf_dir)
 
 
 @query
 def boosted_contributions(spark, sf_dir):
-    model, split, features = _fit(training.BOOSTED, spark, sf_dir)
-    leaves = explain.ensemble_leaves(spark, model)
-    rows = split.select("entity", *features)
-    explained = explain.tree_contributions(rows, leaves, features, "log-odds")
-    return explain.long_contributions(explained, "entity")
+    return _model_contributions(training.BOOSTED, spark, sf_dir)
 
 
 @query

@@ -1,12 +1,12 @@
 """The analyses a user asks for, each a set of named DataFrames.
 
-Nothing is computed until a result is used, apart from training itself.
+Results are computed when they are used. Training, rank searches, encoders and the choice
+of matrix columns or model run jobs while a report is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from outcome_risk.functions.values import filter_in
 from outcome_risk.operators import encoding, explain, profile, rates, rules, score, stats
@@ -42,18 +42,20 @@ def metadata_report(
     }
 
 
-def eda_report(df: DataFrame, roles: Roles | None = None) -> dict[str, DataFrame]:
-    """Correlations, outcome rates, amounts per class, mean scores."""
+def eda_report(
+    df: DataFrame, roles: Roles | None = None, matrix_limit: int | None = None
+) -> dict[str, DataFrame]:
+    """Correlations of all (or the best) numeric columns, rates, amounts per class, scores."""
     roles = _roles(df, roles)
     numeric = [c for c, family in column_families(df).items() if family == "numeric"]
-    columns = stats.matrix_columns(df, numeric, roles.target)
+    columns = stats.matrix_columns(df, numeric, roles.target, matrix_limit)
     return {
         "correlation": stats.correlation_matrix(df, columns),
         "rate_by_group": rates.rate_by_group(df, roles),
         "rate_by_grade": rates.rate_by_grade(df, roles),
         "rate_by_flag": rates.rate_by_flag(df, roles),
         "amounts_by_class": stats.head_per_class(df, roles),
-        "five_numbers": stats.five_number_of_head(df, roles),
+        "five_numbers": stats.five_number_by_class(df, roles),
         "score_means": rates.score_means_long(df, roles),
     }
 
@@ -78,15 +80,19 @@ def dashboard_report(
 
 
 def train_report(
-    df: DataFrame, roles: Roles | None = None, **options
+    df: DataFrame, roles: Roles | None = None, key: str | None = None, **options
 ) -> tuple[Training, DataFrame, DataFrame]:
-    """Encode and train; returns the training, the encoded table and the encoder."""
+    """Encode and train; returns the training, the encoded table and the encoder.
+
+    Rows are told apart by the id; name a complete and unique ``key`` where it is neither.
+    """
     roles = _roles(df, roles)
-    if not roles.target or not roles.id:
+    if not roles.target or not (key or roles.id):
         raise ValueError("training needs a target and an id column")
-    encoder = encoding.stored_encoder(df, encoding.categorical_features(df, roles.target))
-    encoded = encoding.prepare(df, roles, encoder)
-    features = encoding.feature_columns(df, roles)
+    names = encoding.row_names(roles, key)
+    encoder = encoding.stored_encoder(df, encoding.categorical_features(df, roles.target, names))
+    encoded = encoding.prepare(df, roles, encoder, key)
+    features = encoding.feature_columns(df, roles, key)
     training = train(encoded, roles.target, "entity", features, **options)
     return training, encoded, encoder
 
@@ -111,9 +117,9 @@ def risk_report(
 
 
 def explain_report(training: Training, rows: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Contributions of the test rows (or of given encoded rows), global and per row."""
+    """Contributions of all rows (or of given encoded rows), global and per row."""
     if rows is None:
-        rows = training.split.filter(F.col("split") == "test").drop("split")
+        rows = training.split.drop("split")
     best = training.best_model
     scored = best.probability(rows, training.features)
     explained = explain.explain_model(scored, best, training.features, training.balanced)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outcome_risk.functions.values import nan_to_null
+from outcome_risk.functions.values import nan_to_null, parsed_number
 from outcome_risk.roles import quoted
 
 # Texts read as null.
@@ -15,6 +15,7 @@ NULL_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
+FLOATING = ("double", "float")
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
 
@@ -33,18 +34,22 @@ def load_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     null_tokens: list[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a table by suffix, or by ``fmt``.
 
     Delimited text has a header. Without a schema the types are found in one pass over
-    the file; give the schema to read at once.
+    the file. ``multi_line`` reads quoted line breaks, one task per file; without it large
+    files are split by line, and a line that leaves a quote open is an error.
     """
     fmt = fmt or format_of(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unsupported file format: {fmt}; use CSV or Parquet")
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    if not multi_line:
+        _check_quotes(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     texts = reader.csv(path)
     tokens = NULL_TOKENS if null_tokens is None else null_tokens
     cleaned = texts.select(
@@ -57,19 +62,33 @@ def load_table(
         kinds = _kinds(cleaned)
     return cleaned.select(
         *[
-            (quoted(c) if kinds[c] == "string" else F.trim(quoted(c)).try_cast(kinds[c])).alias(c)
+            _typed(quoted(c), kinds[c]).alias(c)
             for c in cleaned.columns
         ]
     )
 
 
+def _check_quotes(spark: SparkSession, path: str) -> None:
+    """Raise when a line leaves a quote open; stops at the first such line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+        raise ValueError(f"a line of {path} leaves a quote open; use multi_line=True")
+
+
+def _typed(text: Column, kind: str) -> Column:
+    if kind == "string":
+        return text
+    trimmed = F.trim(text)
+    return parsed_number(trimmed, kind) if kind in FLOATING else trimmed.try_cast(kind)
+
+
 def _kinds(texts: DataFrame) -> dict[str, str]:
     """Narrowest type that every known value of a column has; one aggregate."""
     checks: list[Column] = []
     for i, c in enumerate(texts.columns):
         text = quoted(c)
         whole = text.rlike(WHOLE_NUMBER) & F.trim(text).try_cast("bigint").isNotNull()
-        number = F.trim(text).try_cast("double").isNotNull()
+        number = parsed_number(F.trim(text)).isNotNull()
         truth = F.lower(text).isin("true", "false")
         checks += [
             F.count(text).alias(f"known{i}"),

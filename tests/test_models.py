@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from outcome_risk.operators import balance, explain, neighbours, training
+from outcome_risk.operators import balance, explain, neighbours, splitting, training
 from outcome_risk.storage import write_table
 
 
@@ -186,6 +186,30 @@ def test_missing_features_raise_or_fill(spark):
     assert [r["a"] for r in filled] == [1.0, 3.0, 3.0, 10.0]
 
 
+def test_columns_without_values_raise(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id int, a double")
+    with pytest.raises(ValueError, match="without any value"):
+        training.check_features(df, ["a"], on_null="median")
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 2, 3], [1, 2, 3, None]])
+def test_ids_that_are_no_key_raise(spark, ids):
+    rows = [(i, n % 2, float(n)) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id int, y int, a double")
+    with pytest.raises(ValueError, match="no key"):
+        splitting.stratified_split(df, "y", "id")
+    many = df.unionByName(spark.range(10, 30).selectExpr("int(id) as id", "0 as y", "1.0D as a"))
+    with pytest.raises(ValueError, match="no key"):
+        balance.smote(many, "y", "id", ["a"])
+
+
+def test_penalty_follows_the_weights(learnable):
+    ready = training.learnable(learnable, list("abcd"), 3.0)
+    positives = learnable.filter("label = 1").count()
+    assert training.loss_weight(ready, True) == 300 + 2 * positives
+    assert training.loss_weight(ready, False) == 300
+
+
 @pytest.mark.parametrize("cv_balance", ["before", "inside"])
 def test_training_end_to_end(spark, learnable, cv_balance):
     names = [training.LOGISTIC] if cv_balance == "inside" else [training.FOREST, training.LOGISTIC]

@@ -113,9 +113,10 @@ def test_wide_tables_keep_twenty_columns(spark):
     names = [f"c{i:02d}" for i in range(24)]
     frame = wide.toPandas()
     size = frame[names].corrwith((frame["Attrition"] == "Yes").astype(float)).abs()
-    kept = stats.matrix_columns(wide, names, "Attrition")
+    kept = stats.matrix_columns(wide, names, "Attrition", 20)
     assert kept == list(size.nlargest(20).index)
-    assert stats.matrix_columns(wide, names, None) == names[:20]
+    assert stats.matrix_columns(wide, names, None, 20) == names[:20]
+    assert stats.matrix_columns(wide, names, None) == names
 
 
 def test_auc_matches_the_exact_evaluator(spark):

@@ -59,6 +59,19 @@ def test_exports(spark, tmp_path):
     assert [tuple(r) for r in back] == [(1, None, 'x, "y"'), (2, 1.5, None)]
 
 
+def test_quoted_line_breaks_and_suffixed_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a\nb "c"', "1D"), (2, "x", "2F"), (3, "y", "1F")], "id int, t string, v string")
+    path = str(tmp_path / "breaks.csv")
+    export_csv(df.coalesce(1), path)
+    with pytest.raises(ValueError, match="quote open"):
+        load_table(spark, path)
+    back = load_table(spark, path, multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in back] == [(1, 'a\nb "c"', "1D"), (2, "x", "2F"), (3, "y", "1F")]
+    export_csv(df.filter("id > 1"), str(tmp_path / "plain.csv"))
+    given = load_table(spark, str(tmp_path / "plain.csv"), schema="id int, t string, v double").collect()
+    assert {(r["id"], r["v"]) for r in given} == {(2, None), (3, None)}
+
+
 def test_reports_without_a_model(hr):
     upload = reports.upload_report(hr)
     assert upload["shape"].first()["rows"] == 1500
@@ -98,6 +111,21 @@ def test_train_score_explain_scenario(spark, hr):
     assert len(answer) == 2 and all(r["recommendations"] for r in answer)
 
 
+def test_own_keys_are_no_features(spark, hr):
+    from outcome_risk.operators import training
+
+    named = hr.filter("EmployeeNumber < 200").withColumn("person", F.concat(F.lit("p"), "EmployeeNumber"))
+    named = named.drop("EmployeeNumber").withColumn("EmployeeName", F.lit("the same"))
+    small = {"models": [training.FOREST], "spaces": {training.FOREST: {"numTrees": [2], "maxDepth": [2]}}}
+    with pytest.raises(ValueError, match="no key"):
+        reports.train_report(named, **small)
+    done, encoded, encoder = reports.train_report(named, key="person", **small)
+    assert "person" not in done.features and not encoder.filter("column = 'person'").count()
+    assert encoded.select("entity").distinct().count() == named.count()
+    done, _, _ = reports.train_report(named, resolve_roles(named.columns, {"id": "person"}), **small)
+    assert "person" not in done.features
+
+
 def test_sorting_treats_missing_numbers_as_zero(spark):
     df = spark.createDataFrame([(1, None, "b"), (2, -1.0, None), (3, 2.0, "a")], "id int, v double, t string")
     assert [r["id"] for r in score.sort_by(df, "v").collect()] == [3, 1, 2]

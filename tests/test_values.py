@@ -56,8 +56,11 @@ def test_half_even(spark):
 
 
 def test_cleaning(spark):
-    df = spark.createDataFrame([("12",), (" 7.5 ",), ("ab",), (None,)], "t string")
-    assert column(df, values.cast_or_default(F.col("t"))) == [12.0, 7.5, 0.0, 0.0]
+    texts = ["12", " 7.5 ", "ab", None, "5d", "2F", "1.D", "0x1p3", "1e3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert column(df, values.cast_or_default(F.col("t"))) == [12.0, 7.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1000.0]
+    truth = spark.createDataFrame([(True,), (False,)], "t boolean")
+    assert column(truth, values.cast_or_default(F.col("t"))) == [1.0, 0.0]
     gaps = spark.createDataFrame([(1.0, "a"), (float("nan"), "b")], "v double, t string")
     assert [r["v"] for r in values.nan_to_null(gaps).collect()] == [1.0, None]
     assert values.drop_nulls(gaps, "v").count() == 1
