@@ -651,7 +651,6 @@ put(
     SELECT 'rate_by_group' AS operator, count(DISTINCT grp) AS n FROM s
     UNION ALL SELECT 'counts_by_role', count(DISTINCT role) FROM s
     UNION ALL SELECT 'rate_by_flag', count(DISTINCT flag) FROM s
-    UNION ALL SELECT 'five_number_by_class', count(DISTINCT target) FROM s
     ), (VALUES (true), (false)) p(present)""",
 )
 
