@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter
+from outcome_risk.llm.worker import keep
 
 IDS_PER_BATCH = 1 << 20
 PAIRS_KEPT = 200_000
@@ -215,15 +216,9 @@ class Encoder:
         return b"".join(lookup(text, self.first, self.rest)) if text else b""
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
     """One encoder per worker process and broadcast vocabulary."""
-    if id(vocabulary) not in _encoders:
-        _encoders.clear()
-        _encoders[id(vocabulary)] = Encoder(vocabulary)
-    return _encoders[id(vocabulary)]
+    return keep("bpe encoder", vocabulary, lambda: Encoder(vocabulary))
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str):

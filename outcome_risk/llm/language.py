@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outcome_risk.llm.worker import keep
+
 UND = "und"
 LEVEL = 6
 BLOCK_BYTES = 4096
@@ -154,7 +156,7 @@ def identify(
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(dictionaries)
+        classifier = keep("classifier", dictionaries, lambda: Classifier(dictionaries))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             found = [classifier.predict(value.as_py(), min_margin) for value in texts]

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from outcome_risk.llm.components import components
 from outcome_risk.llm.storage import read_parts, write_parts, write_table
 from outcome_risk.llm.textscan import SPACED, gram_hashes, mix, text_slices, words_of
+from outcome_risk.llm.worker import release
 
 SIZE = 5
 PERCENT = 75
@@ -166,6 +167,7 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _segments(df: DataFrame, size: int, fragments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         group_id = TaskContext.get().partitionId() << 32
         group = _Group()
         for batch in batches:

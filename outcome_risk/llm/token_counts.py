@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from outcome_risk.llm.bpe import Vocabulary, broadcast_vocabulary, schema_with
 from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter
+from outcome_risk.llm.worker import keep
 
 LIMIT = 1024
 
@@ -47,15 +48,9 @@ class Counter:
         return sum(lookup(text, self.first, self.rest)) if text else 0
 
 
-_counters: dict[int, Counter] = {}
-
-
 def counter_of(vocabulary: Vocabulary) -> Counter:
     """One counter per worker process and broadcast vocabulary."""
-    if id(vocabulary) not in _counters:
-        _counters.clear()
-        _counters[id(vocabulary)] = Counter(vocabulary)
-    return _counters[id(vocabulary)]
+    return keep("token counter", vocabulary, lambda: Counter(vocabulary))
 
 
 def count_tokens(

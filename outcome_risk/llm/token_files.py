@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from outcome_risk.llm.bpe import Encoder, Vocabulary, broadcast_vocabulary
 from outcome_risk.llm.pretokens import Remembered, lookup, special_splitter
+from outcome_risk.llm.worker import keep
 from outcome_risk.llm.storage import write_table
 from outcome_risk.llm.textscan import mix
 
@@ -69,15 +70,9 @@ class RankedEncoder:
         return b"".join(lookup(text, self.first, self.rest)) if text else b""
 
 
-_encoders: dict[int, RankedEncoder | Encoder] = {}
-
-
 def _encoder(vocabulary: Vocabulary) -> RankedEncoder | Encoder:
-    if id(vocabulary) not in _encoders:
-        _encoders.clear()
-        ranked = vocabulary.ids_are_ranks
-        _encoders[id(vocabulary)] = RankedEncoder(vocabulary) if ranked else Encoder(vocabulary)
-    return _encoders[id(vocabulary)]
+    kind = RankedEncoder if vocabulary.ids_are_ranks else Encoder
+    return keep("file encoder", vocabulary, lambda: kind(vocabulary))
 
 
 def key_hashes(keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from outcome_risk.llm import ann, bpe, chat, components, decontaminate, language, line_dedup, ngram_join, quality
-from outcome_risk.llm import queries, token_counts, token_files
+from outcome_risk.llm import queries, token_counts, token_files, worker
 from tests.conftest import SF_DIR
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +66,20 @@ def test_bpe_equals_library(spark, library, vocabulary):
     assert vocabulary.merge(b"ab" * 100) == bpe.Encoder(vocabulary).piece(b"ab" * 100)
 
 
+def test_worker_keeps_one_operator_and_frees_the_last(vocabulary):
+    first = bpe.encoder_of(vocabulary)
+    assert bpe.encoder_of(vocabulary) is first
+    gone = weakref.ref(first)
+    del first
+    counter = token_counts.counter_of(vocabulary)
+    assert gone() is None  # although an encoder refers to itself
+    assert token_counts.counter_of(vocabulary) is counter
+    gone = weakref.ref(counter)
+    del counter
+    worker.release()
+    assert gone() is None
+
+
 def test_decode_skips_unknown_ids(spark):
     df = spark.createDataFrame([(1, [50256, None, 99_999, 0]), (2, None), (3, [])], "doc_id long, ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df, PATH).collect()}
