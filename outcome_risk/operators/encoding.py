@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from outcome_risk.functions.values import strict_target
 from outcome_risk.roles import CANDIDATES, Roles, column_families, drop_columns, quoted
-from outcome_risk.storage import write_table
+from outcome_risk.storage import new_path, write_table
 
 # Fixed value: the class that stands for a missing text.
 MISSING_CLASS = "nan"
@@ -62,9 +62,9 @@ def apply_encoder(
 ) -> DataFrame:
     """Replace each named column by its code, or add the code under ``keep[name]``.
 
-    The encoder table is read from files, so Catalyst broadcasts it when its measured
-    size allows and otherwise joins by shuffle, where adaptive execution splits the
-    partition of a hot value. An unseen text gets a null code.
+    A stored encoder is read from one folder per column, so Catalyst broadcasts a column's
+    codes when their measured size allows and otherwise joins by shuffle, where adaptive
+    execution splits the partition of a hot value. An unseen text gets a null code.
     """
     keep = keep or {}
     for name in names:
@@ -97,7 +97,26 @@ def feature_columns(df: DataFrame, roles: Roles, key: str | None = None) -> list
 
 
 def stored_encoder(df: DataFrame, names: list[str]) -> DataFrame:
-    return write_table(fit_encoder(df, names), "encoder")
+    """The encoder, written once with a folder for each column.
+
+    A filter on ``column`` leaves the read of one folder, so the join planner knows the
+    size of that column's codes, however many classes another column has.
+    """
+    spark = df.sparkSession
+    encoder = fit_encoder(df, names)
+    number = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column"))
+    numbered = encoder.withColumn("number", number) if names else encoder.withColumn("number", F.lit(0))
+    path = new_path(spark, "encoder")
+    numbered.drop("column").write.partitionBy("number").parquet(path)
+    written = spark.read.schema("value string, code long, number long").parquet(path)
+    # a column without rows has no folder
+    found = sorted(r["number"] for r in written.select("number").distinct().collect())
+    stored = spark.createDataFrame([], encoder.schema)
+    for i, n in enumerate(found):
+        part = spark.read.schema("value string, code long").parquet(f"{path}/number={n}")
+        part = part.select(F.lit(names[n - 1]).alias("column"), "value", "code")
+        stored = stored.union(part) if i else part
+    return stored
 
 
 def prepare(

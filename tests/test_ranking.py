@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outcome_risk.operators import evaluate, stats
-from outcome_risk.operators.encoding import fit_encoder
+from outcome_risk.operators.encoding import apply_encoder, fit_encoder, stored_encoder
 from outcome_risk.operators.ranking import MIDDLE, medians, order_statistics, running_totals
 from outcome_risk.operators.splitting import stratified_folds, stratified_split
 from outcome_risk.roles import resolve_roles
@@ -135,3 +135,31 @@ def test_auc_matches_the_exact_evaluator(spark):
 def test_head_is_limited_before_the_shuffle(hr):
     plan = stats.head_per_class(hr, resolve_roles(hr.columns))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_wide_column_does_not_shuffle_a_narrow_one(spark):
+    flag = F.when(F.col("id") % 2 == 0, "yes").otherwise("no")
+    df = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("many one"), flag.alias("flag"))
+    encoder = stored_encoder(df, ["many one", "flag"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        joins = {}
+        for name in ("many one", "flag"):
+            coded = apply_encoder(df, encoder, [name])
+            joins[name] = coded._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in joins["flag"] and "SortMergeJoin" not in joins["flag"]
+        assert "SortMergeJoin" in joins["many one"]
+        codes = apply_encoder(df, encoder, ["flag"]).groupBy("flag").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r) for r in codes} == {(0, 30_000), (1, 30_000)}
+    assert encoder.filter(F.col("column") == "many one").count() == 60_000
+
+
+def test_stored_encoder_of_nothing(spark):
+    empty = spark.createDataFrame([], "flag string")
+    for names in ([], ["flag"]):
+        encoder = stored_encoder(empty, names)
+        assert encoder.columns == ["column", "value", "code"] and encoder.count() == 0
+    assert apply_encoder(empty, encoder, ["flag"]).columns == ["flag"]
