@@ -442,6 +442,7 @@ put(
     CONTRIBUTED,
     IMPORTANCE,
 )
+# The sentences of the insights.
 put(
     "insights",
     """SELECT * FROM (VALUES
@@ -744,6 +745,7 @@ put(
 
 # Scenarios
 
+# The keywords and advice in this statement.
 SCENARIOS = f"""
 fi AS (
   SELECT median("MonthlyIncome") AS fill_amount, median("Age") AS fill_age, median("Department") AS fill_grp,

@@ -20,6 +20,7 @@ CANDIDATES = {
     "tenure": ["YearsAtCompany", "Tenure", "YearsInCurrentRole"],
     "id": ["EmployeeName", "EmployeeNumber", "EmpID", "EmpId"],
 }
+# The score keyword, columns of a report, columns that are dropped.
 SCORE_KEYWORD = "satisfaction"
 REPORT_EXTRAS = ["JobRole", "Department", "Grade", "JobLevel"]
 CONSTANT_COLUMNS = ["Over18", "StandardHours", "EmployeeCount"]
