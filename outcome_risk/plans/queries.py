@@ -507,19 +507,28 @@ def fit_logistic(spark, sf_dir):
     return _fitted_rows(training.LOGISTIC, spark, sf_dir)
 
 
-@query
-def random_search_cv(spark, sf_dir):
+def _refitted(model, setting, total):
+    """Whether the model carries the setting, ``C`` as its penalty."""
+    values = dict(setting)
+    if "C" in values:
+        values["regParam"] = 1.0 / (values.pop("C") * total)
+    got = {k: model.getOrDefault(k) for k in values}
+    return all(v == got[k] or (k == "regParam" and abs(got[k] / v - 1.0) < 1e-9) for k, v in values.items())
+
+
+def _searched(name, spark, sf_dir):
     """Rows per fold and class, and whether the refitted setting is the best of all drawn."""
     split, features = _training_rows(spark, sf_dir)
-    rows = splitting.stratified_folds(split.filter("split = 'train'"), "label", "entity")
+    train = split.filter("split = 'train'")
+    rows = splitting.stratified_folds(train, "label", "entity")
     folded = write_table(rows, "folds")
-    ready = training.learnable(folded, features, None)
-    name = training.LOGISTIC
+    weighted = name == training.BOOSTED
+    weight = splitting.class_weight(train, "label").first()["weight"] if weighted else None
+    ready = training.learnable(folded, features, weight)
     settings = training.drawn_settings(training.SEARCH_SPACES[name], training.DRAWS[name])
-    model, scores = training.random_search_cv(name, training.fold_pairs(ready), ready, settings)
+    model, scores = training.random_search_cv(name, training.fold_pairs(ready), ready, settings, weighted)
     best = settings[max(range(len(settings)), key=scores.__getitem__)]
-    total = training.loss_weight(ready, False)
-    refitted = abs(model.getOrDefault("regParam") * best["C"] * total - 1.0) < 1e-9
+    refitted = _refitted(model, best, training.loss_weight(ready, weighted))
     return folded.groupBy("fold", F.col("label").cast("int").alias("label")).agg(
         F.count("*").alias("n"),
         F.lit(len(settings)).cast("int").alias("drawn"),
@@ -527,6 +536,22 @@ def random_search_cv(spark, sf_dir):
     )
 
 
+@query
+def random_search_cv(spark, sf_dir):
+    """The logistic model's search; its space has as many settings as are drawn."""
+    return _searched(training.LOGISTIC, spark, sf_dir)
+
+
+@query
+def random_search_forest(spark, sf_dir):
+    return _searched(training.FOREST, spark, sf_dir)
+
+
+@query
+def random_search_boosted(spark, sf_dir):
+    return _searched(training.BOOSTED, spark, sf_dir)
+
+
 @query
 def platt_calibrate(spark, sf_dir):
     """The test rows, and whether the slopes of the smoothed likelihood vanish at the fit."""
@@ -576,21 +601,11 @@ def apply_sigmoid(spark, sf_dir):
 
 @query
 def train_models(spark, sf_dir):
-    """The whole run on small spaces: split, balance, search, calibrate, evaluate."""
+    """The whole run on the whole search spaces: split, balance, search, calibrate, evaluate."""
     docs = tables.documents(spark, sf_dir)
     names = ["lang", "source"]
     encoded = encoding.apply_encoder(docs, encoding.stored_encoder(docs, names), names)
-    done = training.train(
-        encoded,
-        "toxic",
-        "doc_id",
-        [*tables.TEXT_FEATURES, *names],
-        spaces={
-            training.FOREST: {"numTrees": [10], "maxDepth": [5]},
-            training.BOOSTED: {"maxIter": [5], "maxDepth": [3]},
-            training.LOGISTIC: {"C": [1.0]},
-        },
-    )
+    done = training.train(encoded, "toxic", "doc_id", [*tables.TEXT_FEATURES, *names])
     return done.metrics.withColumn("best", F.col("model") == done.best)
 
 
