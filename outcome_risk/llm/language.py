@@ -9,8 +9,10 @@ under ``min_ratio`` of the smallest sum, is narrow and the prediction is rejecte
 of no learnt language the margin stays a small part of the size, however long the text is.
 The score is 0.5 for equal sums, 0.75 at ``MIN_RATIO``, and nears 1 as the ratio grows.
 
-The sample is bounded: about ``sample_rows`` texts per language, of each at most
-``sample_bytes`` characters picked by hash, and ``dictionary_bytes`` per dictionary.
+The sample is bounded: of the distinct texts of a language the ``sample_rows`` of smallest
+hash, of each at most ``sample_bytes`` characters picked by hash, and ``dictionary_bytes`` per
+dictionary. Copies count once, so every language has a dictionary. A task holds the
+compressors of ``MAX_LANGUAGES`` languages at a time, however many there are.
 Labelled rows with a null language or text are not learnt from. Texts that are null or
 without a letter get ``und``, score 0, and are rejected. Ties between languages go to the
 first name. Without any labelled row every text is ``und``. Repeated rows are treated alike.
@@ -26,8 +28,10 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcome_risk.llm.storage import write_table
 from outcome_risk.llm.worker import keep
 
 UND = "und"
@@ -61,29 +65,25 @@ def fit_dictionaries(
     """Contents of two dictionaries by language, from a bounded sample picked by text hash."""
     rows = labelled.select(F.col(f"`{language}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.filter("lang is not null and text is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # distinct texts by their hashes alone; of a large language only the lower end is ranked
+    hashed = write_table(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), "language-texts")
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.col("h") / F.lit(2.0**64) + 0.5
+    low = hashed.join(F.broadcast(sizes), "lang").filter(place <= F.lit(4.0 * sample_rows + 1000) / F.col("n"))
+    ranked = low.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    cuts = ranked.filter(F.col("rank") <= sample_rows).groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = write_table(cuts, "language-cuts")
     length = F.length("text")
     start = F.pmod(F.xxhash64(F.lit("start"), "text"), F.greatest(length - sample_bytes, F.lit(0)) + 1) + 1
     piece = F.substr("text", start.cast("int"), F.lit(sample_bytes)).alias("piece")
-    # equal texts draw alike, so a group of copies is one text here
-    picked = rows.filter(draw < share).dropDuplicates(["lang", "text"])
-    pieces: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    bounded = picked.select("lang", piece, F.xxhash64("text").alias("h")).orderBy("h").limit(4 * sample_rows * len(counts))
-    for row in bounded.toLocalIterator():
-        pieces[row["lang"]].append(row["piece"])
-    return {
-        lang: [_fill(own[0::2], dictionary_bytes), _fill(own[1::2] or own, dictionary_bytes)]
-        for lang, own in pieces.items()
-        if own
-    }
+    # one row per language, so the cuts are small at any size of the table
+    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(cuts), "lang").filter("h <= cut")
+    picked = picked.select("lang", "h", piece).dropDuplicates(["lang", "h"]).orderBy("lang", "h")
+    dictionaries = {}
+    for lang, found in groupby(picked.toLocalIterator(), key=lambda row: row["lang"]):
+        own = [row["piece"] for row in found]
+        dictionaries[lang] = [_fill(own[0::2], dictionary_bytes), _fill(own[1::2] or own, dictionary_bytes)]
+    return dictionaries
 
 
 def _fill(pieces: list[str], size: int) -> bytes:
@@ -114,32 +114,52 @@ def _compressor(content: bytes):
 
 
 class Classifier:
-    """Compressors of all languages."""
+    """Compressors of all languages, of ``MAX_LANGUAGES`` at a time."""
 
     def __init__(self, dictionaries: dict[str, list[bytes]]):
         self.languages = sorted(dictionaries)
-        self.first = [_compressor(dictionaries[lang][0]) for lang in self.languages]
-        self.second = [_compressor(dictionaries[lang][1]) for lang in self.languages]
-
-    @staticmethod
-    def _sizes(raw: bytes, compressors: list) -> list[int]:
-        blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        return [sum(len(compress(block)) for block in blocks) for compress in compressors]
+        self.dictionaries = dictionaries
+        self.blocks = [self.languages[i : i + MAX_LANGUAGES] for i in range(0, len(self.languages), MAX_LANGUAGES)]
+        self.held = self._pairs(self.blocks[0]) if len(self.blocks) == 1 else None
+
+    def _pairs(self, block: list[str]) -> list[tuple]:
+        return [tuple(_compressor(content) for content in self.dictionaries[lang]) for lang in block]
+
+    def predict_all(
+        self, texts: list[str | None], min_margin: int, min_ratio: float = MIN_RATIO
+    ) -> list[tuple[str, float, int, bool]]:
+        """Language, score, margin in bytes, rejected, of every text."""
+        known = [bool(t) and bool(self.languages) and LETTER.search(t) is not None for t in texts]
+        sizes: list[list[int]] = [[] for _ in texts]
+        if len(self.languages) > 1:
+            for block in self.blocks:
+                pairs = self.held or self._pairs(block)
+                for text, use, own in zip(texts, known, sizes):
+                    if use:
+                        own += _sizes(plain_words(text), pairs)
+        return [
+            self._decide(text, own, min_margin, min_ratio) if use else (UND, 0.0, 0, True)
+            for text, use, own in zip(texts, known, sizes)
+        ]
 
     def predict(self, text: str | None, min_margin: int, min_ratio: float = MIN_RATIO) -> tuple[str, float, int, bool]:
-        """Language, score, margin in bytes, rejected."""
-        if not text or not self.languages or LETTER.search(text) is None:
-            return UND, 0.0, 0, True
-        raw = plain_words(text)
+        return self.predict_all([text], min_margin, min_ratio)[0]
+
+    def _decide(self, text: str, sizes: list[int], min_margin: int, min_ratio: float) -> tuple[str, float, int, bool]:
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, len(raw), False
-        sizes = [a + b for a, b in zip(self._sizes(raw, self.first), self._sizes(raw, self.second))]
+            return self.languages[0], 1.0, len(plain_words(text)), False
         best, margin = _best(sizes)
         ratio = margin / max(1, sizes[best])
         rejected = margin < min_margin or ratio < min_ratio
         return self.languages[best], 1.0 - 0.5 ** (1 + ratio / MIN_RATIO), margin, rejected
 
 
+def _sizes(raw: bytes, pairs: list[tuple]) -> list[int]:
+    """Compressed bytes by language, summed over its dictionaries."""
+    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+    return [sum(len(compress(block)) for compress in pair for block in blocks) for pair in pairs]
+
+
 def _best(sizes: list[int]) -> tuple[int, int]:
     """The smallest size's place, the first of equals, and its distance to the next."""
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
@@ -167,7 +187,11 @@ def identify(
         classifier = keep("classifier", dictionaries, lambda: Classifier(dictionaries))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            found = [classifier.predict(value.as_py(), min_margin, min_ratio) for value in texts]
+            # few texts as Python strings at a time, unless compressors are made anew for each turn
+            step = 64 if classifier.held else max(1, len(texts))
+            found = []
+            for i in range(0, len(texts), step):
+                found += classifier.predict_all(texts.slice(i, step).to_pylist(), min_margin, min_ratio)
             lang, score, margin, rejected = zip(*found) if found else ((), (), (), ())
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             columns += [
