@@ -33,13 +33,22 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once."""
-    groups = ngram_join.near_duplicates(docs)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = write_table(chosen.select(F.col("doc_id").alias("chosen")).distinct(), "pipeline-chosen")
-    kept = docs.select(*COLUMNS).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    copy = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return kept.withColumn("copy", copy).filter("copy = 1").select(*COLUMNS)
+    """One row of each group of near copies: the smallest id, nulls last, then the text by hash.
+
+    Rows are told apart by a hash of id and text, which needs no second copy of the texts.
+    Rows without words are alone, equal ones once, but all of those without an id.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    groups = ngram_join.near_duplicates(keyed, key="key").withColumnRenamed("doc_id", "key")
+    groups = write_table(groups.distinct(), "pipeline-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", (F.col("n_shingles") == 0).alias("bare"))
+    placed = keyed.select("doc_id", "key").distinct().join(groups, "key").select("component_id", place.alias("place"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("place"))
+    chosen = write_table(first.select("place.key", "place.bare"), "pipeline-chosen")
+    kept = keyed.join(chosen, "key")
+    copy = F.row_number().over(W.partitionBy("key").orderBy("text"))
+    return kept.withColumn("copy", copy).filter("copy = 1 or bare and doc_id is null").select(*COLUMNS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
