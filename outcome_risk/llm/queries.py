@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcome_risk.llm import ann, bpe, chat, decontaminate, language, line_dedup, ngram_join, quality
-from outcome_risk.llm import token_counts, token_files
+from outcome_risk.llm import ann, bpe, chat, decontaminate, language, line_dedup, lm_scoring, ngram_join
+from outcome_risk.llm import quality, token_counts, token_files
 from outcome_risk.llm.storage import new_path, write_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,6 +89,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language.held_out("doc_id", 10, 0).alias("held_out")
+    return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text", held_out))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -102,5 +107,6 @@ QUERIES = {
         op8_quality_classifier,
         op9_line_dedup,
         op10_decontamination,
+        op11_lm_scoring,
     )
 }
