@@ -117,9 +117,101 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda x: ord(x)::BIGINT)),
+         lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _edit(state: str, cost: str, letter: str, line: str, when: str) -> str:
+    """A state of the repair after one more edit, out of reach unless ``when`` holds."""
+    return (
+        f"{{'cost': CASE WHEN {when} THEN {state}.cost + {cost} ELSE 1000000000 END, "
+        f"'audit': {state}.audit || '{letter}', 'body': {state}.body{line}}}"
+    )
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _row_edits(after: int) -> str:
+    """The cheapest way into a state by the next row: it is kept, reroled or deleted."""
+    own = f"s{after}"
+    line, more = " || chr(10) || r.role || ':' || r.text", "(CASE WHEN r.cut THEN 3 ELSE 0 END)"
+    options = [_edit(own, "4", "D", "", "true"), _edit(own, more, "K", line, "NOT r.gone AND r.initial = ''")]
+    before = {1: ("s", [0]), 2: ("u", [0, 1, 3]), 3: ("a", [2])}
+    if after in before:
+        initial, states = before[after]
+        for state in states:
+            options.append(_edit(f"s{state}", more, "K", line, f"NOT r.gone AND r.initial = '{initial}'"))
+            if initial != "s":
+                role = {"u": "user", "a": "assistant"}[initial]
+                new = f" || chr(10) || '{role}:' || r.text"
+                options.append(_edit(f"s{state}", f"3 + {more}", "R", new, "NOT r.gone"))
+    return _least(*options)
+
+
+def _inserted(after: int, states: list[str], role: str) -> str:
+    line = f" || chr(10) || '{role}:'"
+    return _least(f"s{after}", *[_edit(s, "3", "I", line, "true") for s in states])
+
+
+_FAR = "{'cost': 1000000000, 'audit': '', 'body': ''}"
+_USER, _ASSISTANT = _inserted(2, ["s0", "s1", "s3"], "user"), _inserted(3, ["s2"], "assistant")
+
+REPAIR = rf"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+  FROM conversations
+), kinds AS (
+  SELECT *, {_CRC32} % 20 AS kind FROM placed
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, substr(role, 1, 1) AS initial
+  FROM damaged
+), marked AS (
+  SELECT *, blank OR again AS gone, NOT (blank OR again) AND open AS cut,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS step
+  FROM numbered
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id
+), moved AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'cost': 0, 'audit': '', 'body': ''}} AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3
+  FROM faults
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, {_ASSISTANT} AS s3 FROM (
+    SELECT conv_id, i, s0, s1, {_USER} AS s2, s3 FROM (
+      SELECT m.conv_id, r.i, {_row_edits(0)} AS s0, {_row_edits(1)} AS s1, {_row_edits(2)} AS s2, {_row_edits(3)} AS s3
+      FROM (SELECT conv_id, i, s0, s1, s2, {_ASSISTANT} AS s3
+            FROM (SELECT conv_id, i, s0, s1, {_USER} AS s2, s3 FROM moved)) m
+      JOIN marked r ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = m.i + 1
+    )
+  )
+), done AS (
+  SELECT f.*, {_least("s0", "s3")} AS best
+  FROM faults f JOIN moved m ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = f.n
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(substr(best.body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_JOIN,
     "op6_chat_format": CHAT,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontamination": DECONTAMINATION,
+    "op13_conversation_repair": REPAIR,
 }
