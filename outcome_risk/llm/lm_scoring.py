@@ -35,12 +35,13 @@ from pyspark.sql import types as T
 from outcome_risk.llm.ctw import Forest, context_keys, kt_one, log_kt, merged, stream, weighted
 from outcome_risk.llm.storage import read_parts, write_parts, write_table
 from outcome_risk.llm.textscan import SPACED, mix, text_slices, words_of
+from outcome_risk.llm.worker import trim
 
 DEPTH = 5
 TOP = 3  # depth from which a shard holds whole subtrees
 BLOCK_BYTES = 32 << 20
-WINDOW_PLACES = 2 << 20
-PENDING = 3_000_000  # numbers of windows that wait to be merged
+WINDOW_BYTES = 1 << 19  # of texts that are read at once, and places of a longer one
+PENDING = 1_500_000  # numbers of windows that wait to be merged
 SMOOTHING = 0.1
 END = np.uint64(0xFFFFFFFFFFFFFFFF)  # stands for the end of a text among word hashes
 
@@ -96,8 +97,8 @@ class Counted:
 def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Context numbers of all places of some texts, text by text, a bounded number at once."""
     padded, counts = stream(data, offsets, DEPTH)
-    for start in range(DEPTH, len(padded), WINDOW_PLACES):
-        stop = min(start + WINDOW_PLACES, len(padded))
+    for start in range(DEPTH, len(padded), WINDOW_BYTES):
+        stop = min(start + WINDOW_BYTES, len(padded))
         yield context_keys(padded[start - DEPTH : stop], DEPTH)[counts[start:stop]]
 
 
@@ -118,7 +119,7 @@ def _gather(text: str, shards: int):
                 own = batch.slice(first, len(offsets) - 1)
                 for flag in (True, False):
                     chosen = own.filter(pc.equal(training.slice(first, own.num_rows), flag))
-                    for _, d, o in text_slices(chosen.column(at)):
+                    for _, d, o in text_slices(chosen.column(at), WINDOW_BYTES):
                         for keys in windows(d, o):
                             grams.add(keys, flag)
                         words.add(token_hashes(d, o)[0], flag)
@@ -126,6 +127,7 @@ def _gather(text: str, shards: int):
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield _requests(block, grams, words, shards)
+                    trim()
                     block, size, grams, words = block + 1, 0, Counted(), Counted()
         if size or len(grams.parts) > 1:
             yield _requests(block, grams, words, shards)
@@ -243,13 +245,14 @@ def _add_up(text: str, n: int, v: int, schema: T.StructType):
             batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
             for own in batch:
                 out.append(_scored(own, gram_keys, gram_values, word_keys, word_counts, word_scores))
+            trim()
         return pa.concat_tables(out)
 
     def _scored(batch, gram_keys, gram_values, word_keys, word_counts, word_scores) -> pa.Table:
         rows = batch.num_rows
         score, base = np.zeros(rows), np.zeros(rows)
         n_bytes, n_tokens, n_known = (np.zeros(rows, dtype=np.int64) for _ in range(3))
-        for first, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
+        for first, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)), WINDOW_BYTES):
             own = slice(first, first + len(offsets) - 1)
             n_bytes[own] = np.diff(offsets)
             ends, seen = np.cumsum(n_bytes[own] + 1), 0

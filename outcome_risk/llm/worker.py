@@ -7,6 +7,8 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _kept: list[tuple[str, Any, Any]] = []
 
 
@@ -16,9 +18,15 @@ def release() -> None:
         return
     _kept.clear()
     gc.collect()  # encoders refer to themselves, so counting references does not free them
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, Arrow's own too."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def keep(kind: str, source: Any, build: Callable[[], Any]) -> Any:

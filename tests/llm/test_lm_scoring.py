@@ -135,7 +135,7 @@ def test_windows_do_not_change_the_numbers(monkeypatch):
     text = "".join(f"word{i % 97} " for i in range(300))
     data, offsets = np.frombuffer((text + "ab").encode(), np.uint8), np.array([0, len(text), len(text), len(text) + 2])
     whole = np.concatenate(list(lm_scoring.windows(data, offsets)))
-    monkeypatch.setattr(lm_scoring, "WINDOW_PLACES", 64)
+    monkeypatch.setattr(lm_scoring, "WINDOW_BYTES", 64)
     assert (np.concatenate(list(lm_scoring.windows(data, offsets))) == whole).all()
     assert len(whole) == len(data) + 3
 
