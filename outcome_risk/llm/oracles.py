@@ -208,10 +208,50 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
+DIVERGENCE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce({_LOWER}, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents
+), tokens AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counted AS (
+  SELECT lang, source, term, count(*) AS c FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+), shares AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p
+  FROM grid
+), wholes AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // (sum(sum(c)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM grid GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), typical AS (
+  SELECT s.lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM shares s JOIN wholes USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', item, value FROM typical
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM ranked QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_JOIN,
     "op6_chat_format": CHAT,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontamination": DECONTAMINATION,
+    "op12_source_divergence": DIVERGENCE,
     "op13_conversation_repair": REPAIR,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcome_risk.llm import ann, bpe, chat, decontaminate, language, line_dedup, lm_scoring, ngram_join
+from outcome_risk.llm import ann, bpe, chat, decontaminate, divergence, language, line_dedup, lm_scoring, ngram_join
 from outcome_risk.llm import quality, repair, token_counts, token_files
 from outcome_risk.llm.storage import new_path, write_table
 
@@ -94,6 +94,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text", held_out))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -112,6 +116,7 @@ QUERIES = {
         op9_line_dedup,
         op10_decontamination,
         op11_lm_scoring,
+        op12_source_divergence,
         op13_conversation_repair,
     )
 }
