@@ -67,13 +67,13 @@ WITH lines AS (
 ), sized AS (
   SELECT doc_id, i, line, upto, upto - length(line) - 1 AS before, total FROM sums
 ), counted AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 99 FOLLOWING) AS ahead,
-         count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS behind
+  SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead,
+         count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS behind
   FROM sized
 ), runs AS (
-  SELECT doc_id, i AS start, ahead AS n FROM counted WHERE total - before >= 100
+  SELECT doc_id, i AS start, ahead AS n FROM counted WHERE total - before >= 20
   UNION
-  SELECT doc_id, i - behind + 1, behind FROM counted WHERE upto >= 100
+  SELECT doc_id, i - behind + 1, behind FROM counted WHERE upto >= 20
 ), named AS (
   SELECT r.doc_id, r.start, r.n,
          array_to_string(list_slice(string_split(d.text, chr(10)), r.start, r.start + r.n - 1), chr(10)) AS body

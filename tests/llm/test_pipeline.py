@@ -40,7 +40,7 @@ def test_each_stage_on_what_the_one_before_kept(spark):
 
 
 def brute_lines_of(docs):
-    found = brute_lines(docs, 100)
+    found = brute_lines(docs, 20)
     return {i: t for i, t in found.items() if t != "" or docs[i] == ""}
 
 
