@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from outcome_risk.llm.storage import write_table
 
-MIN_CHARS = 100
+MIN_CHARS = 20
 
 
 def _lines(keyed: DataFrame, text: str) -> DataFrame:
