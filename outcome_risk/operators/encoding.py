@@ -12,7 +12,7 @@ from outcome_risk.storage import new_path, write_table
 
 # Fixed value: the class that stands for a missing text.
 MISSING_CLASS = "nan"
-SPLIT_POINTS = 128
+CLASSES_PER_RANGE = 50_000
 
 
 def class_text(column):
@@ -23,9 +23,9 @@ def class_text(column):
 def fit_encoder(df: DataFrame, names: list[str]) -> DataFrame:
     """Encoder table ``column, value, code`` over the named columns.
 
-    Distinct values are numbered by a sample sort: a bounded set of split points (the
-    values with the smallest hashes) cuts them into even ranges whatever their
-    distribution, each range is numbered on its own and shifted by the ranges below.
+    Distinct values are numbered by a sample sort: they are cut into ranges of column and
+    value, as many as ``CLASSES_PER_RANGE`` asks for, each range is numbered on its own and
+    shifted by the ranges of its column below. A column of many classes takes many ranges.
     """
     spark = df.sparkSession
     if not names:
@@ -34,29 +34,26 @@ def fit_encoder(df: DataFrame, names: list[str]) -> DataFrame:
     distinct = write_table(
         texts.unpivot([], [quoted(c) for c in names], "column", "value").distinct(), "classes"
     )
-    sample = distinct.orderBy(F.md5("value"), "column", "value").limit(SPLIT_POINTS).collect()
-    points: dict[str, list[str]] = {}
-    for row in sample:
-        points.setdefault(row["column"], []).append(row["value"])
-    below = None
-    for name, values in points.items():
-        edges = F.array(*[F.lit(v) for v in sorted(values)])
-        cell = F.size(F.filter(edges, lambda e: e <= F.col("value")))
-        here = F.col("column") == name
-        below = F.when(here, cell) if below is None else below.when(here, cell)
-    celled = distinct.withColumn("cell", F.coalesce(below, F.lit(0)) if points else F.lit(0))
-
-    # At most one row per split point and column.
-    sizes = celled.groupBy("column", "cell").agg(F.count("*").alias("n"))
-    lower = W.partitionBy("column").orderBy("cell")
-    starts = sizes.select("column", "cell", (F.sum("n").over(lower) - F.col("n")).alias("start"))
-    inside = W.partitionBy("column", "cell").orderBy("value")
-    numbered = celled.withColumn("code", F.row_number().over(inside))
-    return numbered.join(F.broadcast(starts), ["column", "cell"]).select(
+    ranged = class_ranges(distinct)
+    sizes = ranged.groupBy("column", "range").agg(F.count("*").alias("n"))
+    lower = W.partitionBy("column").orderBy("range")
+    starts = sizes.select("column", "range", (F.sum("n").over(lower) - F.col("n")).alias("start"))
+    inside = W.partitionBy("column", "range").orderBy("value")
+    numbered = ranged.withColumn("code", F.row_number().over(inside))
+    return numbered.join(starts, ["column", "range"]).select(
         "column", "value", (F.col("code") + F.col("start") - 1).cast("long").alias("code")
     )
 
 
+def class_ranges(distinct: DataFrame) -> DataFrame:
+    """Stored ``column, value`` with the number of their ``range`` in sorted order."""
+    ranges = -(-distinct.count() // CLASSES_PER_RANGE)
+    if ranges <= 1:
+        return distinct.withColumn("range", F.lit(0))
+    cut = distinct.repartitionByRange(ranges, "column", "value")
+    return write_table(cut.withColumn("range", F.spark_partition_id()), "class-ranges")
+
+
 def apply_encoder(
     df: DataFrame, encoder: DataFrame, names: list[str], keep: dict[str, str] | None = None
 ) -> DataFrame:

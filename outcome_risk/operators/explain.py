@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from outcome_risk.functions import bands
 from outcome_risk.functions.values import half_even
 from outcome_risk.operators.score import Linear
 from outcome_risk.roles import quoted
-from outcome_risk.storage import new_path
+from outcome_risk.storage import new_path, write_table
 
 # Tasks carry this module's functions along, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Features listed, drivers per sign.
 TOP_FEATURES = 15
 DRIVERS = 3
+#: Packed trees that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
 
 CONTRIBUTION = "array<struct<feature:string,value:double,contribution:double>>"
 
@@ -81,42 +84,80 @@ def tree_table(spark: SparkSession, model) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def ensemble_leaves(spark: SparkSession, model) -> list[Leaf]:
-    """Leaves of all trees, scaled so that the leaf sums add up to the model's output.
+PACKED = "tree int, base double, values binary, sizes binary, features binary, bounds binary"
 
-    Forests give the positive share, averaged over trees; boosted trees give log-odds.
-    The list grows with the model, which the driver holds already, not with the data.
+
+def pack(tree: int, leaves: list[Leaf]) -> dict:
+    """Leaves as flat arrays: values, path lengths, and per path step feature, low, high, share."""
+    steps = [np.column_stack([l.low, l.high, l.share]) for l in leaves]
+    return {
+        "tree": tree,
+        "base": base_value(leaves),
+        "values": np.array([l.value for l in leaves], dtype="<f8").tobytes(),
+        "sizes": np.array([len(l.features) for l in leaves], dtype="<i4").tobytes(),
+        "features": np.concatenate([l.features for l in leaves] or [[]]).astype("<i4").tobytes(),
+        "bounds": np.concatenate(steps or [np.zeros((0, 3))]).astype("<f8").tobytes(),
+    }
+
+
+def unpack(values: bytes, sizes: bytes, features: bytes, bounds: bytes) -> list[Leaf]:
+    ends = np.cumsum(np.frombuffer(sizes, dtype="<i4"))
+    numbers = np.split(np.frombuffer(features, dtype="<i4"), ends[:-1])
+    steps = np.split(np.frombuffer(bounds, dtype="<f8").reshape(-1, 3), ends[:-1])
+    return [Leaf(v, f, b[:, 0], b[:, 1], b[:, 2]) for v, f, b in zip(np.frombuffer(values, dtype="<f8"), numbers, steps)]
+
+
+def ensemble_leaves(spark: SparkSession, model) -> DataFrame:
+    """Stored leaves of all trees, a row per tree, scaled so that they add up to the model's output.
+
+    Forests give the positive share, averaged over trees; boosted trees give log-odds. The
+    paths are built where the nodes are, tree by tree; the driver sees the tree weights only.
     """
     boosted = isinstance(model, GBTClassificationModel)
     weights = list(model.treeWeights)
-    rows = tree_table(spark, model).select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, object]] = {}
-    for row in rows:
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
-    leaves: list[Leaf] = []
-    for tree, nodes in trees.items():
-        factor = 2.0 * weights[tree] if boosted else 1.0 / len(weights)
-        stack = [(0, {})]
-        while stack:
-            node_id, path = stack.pop()
-            node = nodes[node_id]
-            if node["leftChild"] < 0:
-                value = node["prediction"] if boosted else _positive_share(node["impurityStats"])
-                leaves.append(_leaf(value * factor, path))
-                continue
-            feature = node["split"]["featureIndex"]
-            cut = node["split"]["leftCategoriesOrThreshold"][0]
-            for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
-                low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-                low, high = (low, min(high, cut)) if left else (max(low, cut), high)
-                share = share * nodes[child]["rawCount"] / node["rawCount"]
-                stack.append((child, {**path, feature: (low, high, share)}))
-    return leaves
+    factors = [2.0 * w if boosted else 1.0 / len(weights) for w in weights]
+    stats = F.col("impurityStats")
+    positive = F.when(F.size(stats) > 1, F.try_divide(F.get(stats, F.lit(1)), F.aggregate(stats, F.lit(0.0), lambda t, s: t + s)))
+    nodes = tree_table(spark, model).select("treeID", "nodeData.*").select(
+        F.col("treeID").alias("tree"),
+        "id",
+        F.col("leftChild").alias("left"),
+        F.col("rightChild").alias("right"),
+        F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
+        F.col("rawCount").cast("double").alias("cover"),
+        (F.col("prediction") if boosted else F.coalesce(positive, F.lit(0.0))).alias("value"),
+    )
+
+    def build(table: pa.Table) -> pa.Table:
+        tree = table.column("tree")[0].as_py()
+        leaves = _tree_leaves({n["id"]: n for n in table.to_pylist()}, factors[tree])
+        return pa.Table.from_pylist([pack(tree, leaves)]).cast(_PACKED_TYPES)
 
+    return write_table(nodes.groupBy("tree").applyInArrow(build, PACKED), "leaves")
 
-def _positive_share(stats: list[float]) -> float:
-    total = float(sum(stats))
-    return float(stats[1]) / total if total and len(stats) > 1 else 0.0
+
+_PACKED_TYPES = pa.schema(
+    [("tree", pa.int32()), ("base", pa.float64())]
+    + [(name, pa.binary()) for name in ("values", "sizes", "features", "bounds")]
+)
+
+
+def _tree_leaves(nodes: dict[int, dict], factor: float) -> list[Leaf]:
+    leaves, stack = [], [(0, {})]
+    while stack:
+        number, path = stack.pop()
+        node = nodes[number]
+        if node["left"] < 0:
+            leaves.append(_leaf(node["value"] * factor, path))
+            continue
+        feature, cut = node["feature"], node["cut"]
+        for child, left in ((node["left"], True), (node["right"], False)):
+            low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
+            low, high = (low, min(high, cut)) if left else (max(low, cut), high)
+            share = share * nodes[child]["cover"] / node["cover"]
+            stack.append((child, {**path, feature: (low, high, share)}))
+    return leaves
 
 
 def _leaf(value: float, path: dict[int, tuple[float, float, float]]) -> Leaf:
@@ -158,26 +199,66 @@ def base_value(leaves: list[Leaf]) -> float:
     return float(sum(value * np.prod(share) for value, _, _, _, share in leaves))
 
 
+def tree_groups(leaves: DataFrame, limit: int) -> list[list[int]]:
+    """Trees in order, in groups of at most ``limit`` bytes (or one tree)."""
+    size = sum((F.octet_length(c) for c in ("values", "sizes", "features", "bounds")), F.lit(0))
+    groups, room = [], 0
+    for row in leaves.select("tree", size.alias("size")).orderBy("tree").collect():
+        if not groups or row["size"] > room:
+            groups.append([])
+            room = limit
+        groups[-1].append(row["tree"])
+        room -= row["size"]
+    return groups
+
+
 def tree_contributions(
-    df: DataFrame, leaves: list[Leaf], features: list[str], scale: str
+    df: DataFrame, leaves: list[Leaf] | DataFrame, features: list[str], scale: str, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Add ``contributions, base, scale`` for a tree ensemble.
+    """Add ``contributions, base, scale`` for a tree ensemble, or for leaves given by hand.
 
     Only the features cross to Python, in Arrow batches; all other columns stay in the
-    JVM. The leaves are shipped as one broadcast variable; rows are never moved.
+    JVM, and rows are never moved. Trees are shipped in broadcast variables of at most
+    ``limit`` bytes. A larger model takes several, one after the other: the sums so far are
+    stored with the rows before the next group of trees is loaded, so neither the driver
+    nor a task holds more than one group.
     """
-    shared = df.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in leaves])
-
+    spark = df.sparkSession
+    if isinstance(leaves, list):
+        groups, stored = [[pack(0, leaves)]], None
+    else:
+        groups, stored = tree_groups(leaves, limit), leaves
+    own = [f for f in df.columns if f not in ("contributions", "base", "scale")]
+    done, base = df.select(*[quoted(c) for c in own], F.lit(None).cast("array<double>").alias("_phi")), 0.0
+    for number, group in enumerate(groups):
+        if stored is not None:
+            group = [row.asDict() for row in stored.filter(F.col("tree").isin(group)).collect()]
+        base += sum(tree["base"] for tree in group)
+        shared = spark.sparkContext.broadcast([(t["values"], t["sizes"], t["features"], t["bounds"]) for t in group])
+        phi = _shapley(shared)(*[quoted(f).cast("double") for f in features])
+        if number:
+            done = done.withColumn("_new", phi).withColumn("_phi", F.zip_with("_phi", "_new", lambda a, b: a + b)).drop("_new")
+        else:
+            done = done.withColumn("_phi", phi)
+        if number + 1 < len(groups):
+            done = write_table(done, "contributions")
+            shared.destroy()
+    values = [F.get("_phi", F.lit(i)) for i in range(len(features))]
+    if not groups:
+        values = [F.lit(0.0)] * len(features)
+    return with_contributions(done, features, values, F.lit(base), scale).drop("_phi")
+
+
+def _shapley(shared):
     @F.pandas_udf("array<double>")
     def shapley(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        return pd.Series(list(leaf_contributions(x, shared.value)))
+        phi = np.zeros(x.shape)
+        for tree in shared.value:
+            phi += leaf_contributions(x, unpack(*tree))
+        return pd.Series(list(phi))
 
-    explained = df.withColumn("_phi", shapley(*[quoted(f).cast("double") for f in features]))
-    values = [F.col("_phi")[i] for i in range(len(features))]
-    return with_contributions(
-        explained, features, values, F.lit(base_value(leaves)), scale
-    ).drop("_phi")
+    return shapley
 
 
 def explain_model(df: DataFrame, fitted, features: list[str], background: DataFrame) -> DataFrame:

@@ -73,26 +73,22 @@ def long_values(df: DataFrame, names: list[str]) -> DataFrame:
 def field_profile_numeric(df: DataFrame, names: list[str]) -> DataFrame:
     """Minimum, maximum, median, mean and slider step of every numeric feature.
 
-    The step is 1 for whole-number columns without nulls, else 0.1.
+    The step is 1 for whole-number columns without nulls, else 0.1. A Boolean counts as 0 or 1.
     """
-    values = long_values(df, names)
+    if not names:
+        return empty(df, "feature string, min double, max double, mean double, median double, step double")
     whole = [c for c in names if isinstance(df.schema[c].dataType, T.IntegralType)]
-    complete = df.agg(
-        *[F.count_if(quoted(c).isNull()).alias(c) for c in whole] or [F.lit(0)]
-    )
+    # Stored, as the passes of the search and the count of gaps all read it.
+    slim = write_table(df.select(*[number(df, c).alias(c) for c in names]), "features")
+    figures = medians(long_values(slim, names), ["feature"], "value", stored=True, basics=True)
+    complete = slim.agg(*[F.count_if(quoted(c).isNull()).alias(c) for c in whole] or [F.lit(0)])
     gaps = complete.select(
         F.create_map(*[x for c in whole for x in (F.lit(c), quoted(c))])
         if whole
         else F.create_map(F.lit(""), F.lit(0))
     ).scalar()
-    summary = values.groupBy("feature").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        half_even(F.avg("value"), 2).alias("mean"),
-    )
     step = F.when(F.coalesce(gaps[F.col("feature")], F.lit(1)) == 0, 1.0).otherwise(0.1)
-    middles = medians(values, ["feature"], "value", few_keys=True)
-    return summary.join(F.broadcast(middles), "feature").withColumn("step", step)
+    return figures.select("feature", "min", "max", half_even(F.col("mean"), 2).alias("mean"), "median", step.alias("step"))
 
 
 def field_profile_categorical(encoder: DataFrame) -> DataFrame:
@@ -105,6 +101,58 @@ def field_profile_categorical(encoder: DataFrame) -> DataFrame:
     )
 
 
+FIELD_SCHEMA = (
+    "position int, name string, type string, option_position long, option string, is_default boolean, "
+    "min double, max double, median double, mean double, step double"
+)
+
+
+def field_types(df: DataFrame, features: list[str]) -> dict[str, str]:
+    """Text is categorical; numbers and Booleans are numeric; nothing else can be a field."""
+    types = {}
+    for name in features:
+        kind = df.schema[name].dataType
+        if not isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
+            raise ValueError(f"column {name!r} of type {kind.simpleString()} cannot be a form field")
+        types[name] = "categorical" if isinstance(kind, T.StringType) else "numeric"
+    return types
+
+
+def field_table(df: DataFrame, features: list[str], encoder: DataFrame) -> DataFrame:
+    """All form fields in order: a numeric one's range, mean, median (its default) and step, a
+    categorical one's options, a row each, the first of which is the default.
+
+    A numeric field without any value has a row without figures.
+    """
+    types = field_types(df, features)
+    if not types:
+        return empty(df, FIELD_SCHEMA)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(types.items())], "position int, name string, type string")
+    figures = field_profile_numeric(df, [f for f, t in types.items() if t == "numeric"])
+    options = field_profile_categorical(encoder)
+    return (
+        names.join(figures.withColumnRenamed("feature", "name"), "name", "left")
+        .join(
+            options.select(
+                F.col("feature").alias("name"), F.col("position").alias("option_position"), "option", "is_default"
+            ),
+            "name",
+            "left",
+        )
+        .select(*T._parse_datatype_string(FIELD_SCHEMA).names)
+        .orderBy("position", "option_position")
+    )
+
+
+def default_scenario(fields: DataFrame, types: dict[str, str]) -> DataFrame:
+    """One row with the default of every field: the median, or the first option."""
+    values = {"numeric": F.col("median"), "categorical": F.when(F.col("is_default"), F.col("option"))}
+    return fields.agg(
+        *[F.max(F.when(F.col("name") == f, values[kind])).alias(f) for f, kind in types.items()]
+    )
+
+
 def fill_values(encoded: DataFrame, features: list[str], categorical: list[str]) -> DataFrame:
     """Median of every encoded feature, and the mode of the categorical ones.
 
@@ -114,7 +162,7 @@ def fill_values(encoded: DataFrame, features: list[str], categorical: list[str])
     # Stored, as the median search passes several times over what may be a join.
     encoded = write_table(encoded.select(*[number(encoded, f).alias(f) for f in features]), "features")
     values = long_values(encoded, features)
-    middles = medians(values, ["feature"], "value", few_keys=True)
+    middles = medians(values, ["feature"], "value", stored=True)
     if not categorical:
         return middles.withColumn("mode", F.lit(None).cast("double"))
     frequency = (

@@ -1,10 +1,15 @@
 """Exact ranks, quantiles and running totals without a single-task sort.
 
-A window over a whole class puts that class into one task. Here the value range is
-cut into ordered buckets first: a fixed logarithmic grid, then an even grid inside
-each bucket's own minimum and maximum. Counts per bucket (few rows, pre-aggregated on
-the map side) tell which bucket holds a rank, and only that bucket is looked at again.
-Every step is a pure function of the data, so a lost executor changes nothing.
+Ranks are found by radix select. Numbers become whole numbers of 64 bits in the same order
+(a double by its sign, exponent and fraction), and each pass looks at sixteen more bits: it
+counts rows per cell, pre-aggregated on the map side, and keeps the cells that hold a wanted
+rank. A cell of at most ``CELLS`` rows is finished by its distinct values. So no pass gives a
+task more than ``CELLS`` cells of a group, four passes end every search whatever the
+distribution, and two are enough unless very many rows agree in their first bits.
+
+Running totals cut the distinct values into ranges of about equal numbers of rows, add up
+each range, and look at one range at a time. Every step is a pure function of stored
+data, so a lost executor changes nothing.
 """
 
 from __future__ import annotations
@@ -14,39 +19,71 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outcome_risk.storage import write_table
 
-GRID_PER_LOG = 512
-GRID_LIMIT = 1e6
-FINE_CELLS = 4096
-# Largest table of ranks that is broadcast, and what a row takes besides its keys.
-BROADCAST_BYTES = 8 << 20
-RANK_BYTES = 128
-
+DIGIT_BITS = 16
+CELLS = 1 << DIGIT_BITS
+# The parts of a double: bits of the fraction, offset of the exponent, largest exponent.
+FRACTION, OFFSET, TOP_EXPONENT = 52, 1023, 1024
+LEAST_NORMAL, LEAST_POSITIVE = 2.0**-1022, 2.0**-1074
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a whole number of the same order; equal doubles are equal, both zeros too."""
+    size = F.abs(value)
+    guess = F.least(F.floor(F.log2(size)), F.lit(TOP_EXPONENT - 1))
+    part = size / F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    up, down = part >= 2.0, part < 1.0
+    exponent = F.when(up, guess + 1).when(down, guess - 1).otherwise(guess)
+    part = F.when(up, part / 2.0).when(down, part * 2.0).otherwise(part)
+    whole = float(1 << FRACTION)
+    normal = F.shiftleft(exponent.cast("long") + OFFSET, FRACTION) + ((part - 1.0) * whole).cast("long")
+    bits = (
+        F.when(size == float("inf"), F.lit((TOP_EXPONENT + OFFSET) << FRACTION))
+        .when(size < LEAST_NORMAL, (size / LEAST_POSITIVE).cast("long"))
+        .otherwise(normal)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def from_bits(bits: Column) -> Column:
+    """The double of a whole number made by ``ordered_bits``."""
+    size = F.abs(bits)
+    exponent = F.shiftright(size, FRACTION).cast("int")
+    fraction = size.bitwiseAND(F.lit((1 << FRACTION) - 1)).cast("double")
+    normal = (fraction / float(1 << FRACTION) + 1.0) * F.pow(F.lit(2.0), exponent - OFFSET)
+    value = (
+        F.when(exponent == TOP_EXPONENT + OFFSET, F.lit(float("inf")))
+        .when(exponent == 0, fraction * LEAST_POSITIVE)
+        .otherwise(normal)
+    )
+    return F.when(bits < 0, -value).otherwise(value)
 
-def coarse_bucket(value: Column) -> Column:
-    """Cell of a fixed grid, even on the scale sign(v)·log(1+|v|)."""
-    cell = F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(GRID_PER_LOG))
-    return F.floor(F.greatest(F.least(cell, F.lit(GRID_LIMIT)), F.lit(-GRID_LIMIT))).cast("int")
 
+def _cell(shift: int) -> Column:
+    return F.shiftright("bits", shift) if shift else F.col("bits")
 
-def fine_bucket(value: Column, low: Column, high: Column, cells: int = FINE_CELLS) -> Column:
-    """Cell of an even grid between two bounds."""
-    share = (value - low) / (high - low)
-    return F.when(high > low, F.floor(share * F.lit(float(cells))).cast("int")).otherwise(0)
 
+def _holding(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Of counted cells with the ranks wanted among them, those that hold one.
 
-def _locate(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep, per wanted rank, the cell that holds it; ``rank`` becomes cell-relative."""
-    cells = W.partitionBy(*keys).orderBy(order)
-    before = F.sum("n").over(cells) - F.col("n")
-    return (
-        counts.withColumn("before", before)
-        .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .withColumn("rank", F.col("rank") - F.col("before"))
-        .drop("before")
+    ``want`` is an array of (stat, rank); ranks become relative to the cell that holds them.
+    """
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("cell"))
+    placed = cells.withColumn("before", upto - F.col("n"))
+    held = F.filter(
+        "want", lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n"))
+    )
+    moved = F.transform(
+        held, lambda w: F.struct(w["stat"].alias("stat"), (w["rank"] - F.col("before")).alias("rank"))
     )
+    return placed.withColumn("want", moved).filter(F.size("want") > 0).drop("before")
+
+
+BASICS = {"mean": lambda c: F.sum(F.col(c).cast("double")), "min": F.min, "max": F.max}
 
 
 def order_statistics(
@@ -54,88 +91,76 @@ def order_statistics(
     keys: list[str],
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
-    few_keys: bool = False,
+    stored: bool = False,
+    basics: bool = False,
 ) -> DataFrame:
     """Exact values at given 0-based ranks, per group: ``keys, n, <one column per rank>``.
 
     ``ranks`` maps an output name to a function of the group size. Null values, NaN and
     rows with a null key are left out. The result has one row per group with a value.
-    ``few_keys`` promises that the number of groups is bounded by the schema (say, one
-    per column or per class); otherwise the first histogram is written to the shared
-    folder so that its measured size decides between broadcast and shuffle.
+    ``basics`` adds ``mean``, ``min`` and ``max``, which the first pass sees anyway. The keys
+    and values are stored for the passes, unless ``df`` is ``stored`` already. What is known
+    of the wanted ranks is stored after each pass, so its true size decides how it is joined.
     """
     group = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
     source = source.select(*group, F.col(value).alias("v"))
     for name in [*group, "v"]:
         source = source.filter(F.col(name).isNotNull())
-    source = source.filter(~F.isnan("v")).withColumn("coarse", coarse_bucket(F.col("v")))
-
-    histogram, hint = _first_cells(source, group, len(ranks), few_keys or not keys)
-    sized = histogram.withColumn("size", F.sum("n").over(W.partitionBy(*group)))
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("stat"),
-                    F.least(rank(F.col("size")).cast("long"), F.col("size") - 1).alias("rank"),
-                )
-                for name, rank in ranks.items()
-            ]
-        )
-    )
-    cells = W.partitionBy(*group).orderBy("coarse")
-    first = (
-        sized.withColumn("before", F.sum("n").over(cells) - F.col("n"))
-        .select("*", wanted.alias("want"))
-        .select(*group, "coarse", "n", "low", "high", "size", "before", "want.stat", "want.rank")
-        .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .withColumn("rank", F.col("rank") - F.col("before"))
-        .drop("n", "before")
-    )
-
-    # The cell is a join key in both passes: an equi-join even without group keys.
-    cell = [*group, "coarse"]
-    second = _locate(
-        source.join(hint(first), cell)
-        .withColumn("fine", fine_bucket(F.col("v"), F.col("low"), F.col("high")))
-        .groupBy(*cell, "stat", "size", "rank", "fine")
-        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")),
-        [*group, "stat"],
-        "fine",
-    ).drop("n", "fine")
-
-    third = _locate(
-        source.join(hint(second), cell)
-        .filter(F.col("v").between(F.col("low"), F.col("high")))
-        .groupBy(*group, "stat", "size", "rank", "v")
-        .agg(F.count("*").alias("n")),
-        [*group, "stat"],
-        "v",
-    )
-    found = third.groupBy(*group).agg(
+    whole = isinstance(source.schema["v"].dataType, T.IntegralType)
+    if not whole:
+        source = source.withColumn("v", F.col("v").cast("double")).filter(~F.isnan("v"))
+    if not stored:
+        source = write_table(source, "ranked")
+    bits = F.col("v").cast("long") if whole else ordered_bits(F.col("v"))
+    source = source.withColumn("bits", bits)
+    known = write_table(_first_pass(source, group, ranks, basics), "ranks")
+
+    shift, extra = 64 - DIGIT_BITS, ["size", *(BASICS if basics else [])]
+    while True:
+        largest = known.agg(F.max("n")).first()[0]
+        last = shift == DIGIT_BITS or largest is None or largest <= CELLS
+        below = 0 if last else shift - DIGIT_BITS
+        wanted = known.withColumnRenamed("cell", "held").drop("n")
+        cell = [*group, "held"]
+        near = source.withColumn("held", _cell(shift)).join(wanted.select(*cell), cell)
+        cells = near.groupBy(*cell, _cell(below).alias("cell")).agg(F.count("*").alias("n"))
+        found = _holding(cells.join(wanted, cell), cell).drop("held")
+        if last:
+            break
+        known, shift = write_table(found, "ranks"), below
+    exact = F.col("cell") if whole else from_bits(F.col("cell"))
+    each = found.select(*group, *extra, exact.alias("v"), F.explode("want.stat").alias("stat"))
+    result = each.groupBy(*group).agg(
         F.max("size").alias("n"),
         *[F.max(F.when(F.col("stat") == name, F.col("v"))).alias(name) for name in ranks],
+        *[F.first(c).alias(c) for c in extra[1:]],
     )
-    return found if keys else found.drop("_all")
-
-
-def _first_cells(source: DataFrame, group: list[str], ranks: int, few_keys: bool):
-    """Histogram on the fixed grid, and how tables of its size are to be joined."""
-    histogram = (
-        source.groupBy(*group, "coarse")
-        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return result if keys else result.drop("_all")
+
+
+def _first_pass(source: DataFrame, group: list[str], ranks: dict, basics: bool) -> DataFrame:
+    """Cells of the first digit that hold a wanted rank, with the size of their group."""
+    figures = [kind("v").alias(name) for name, kind in BASICS.items()] if basics else []
+    cells = source.groupBy(*group, _cell(64 - DIGIT_BITS).alias("cell")).agg(F.count("*").alias("n"), *figures)
+    whole = W.partitionBy(*group)
+    size = F.sum("n").over(whole)
+    if basics:
+        cells = cells.withColumns(
+            {
+                "mean": F.sum("mean").over(whole) / size,
+                "min": F.min("min").over(whole),
+                "max": F.max("max").over(whole),
+            }
+        )
+    n = F.col("size")
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("stat"), F.least(rank(n).cast("long"), n - 1).alias("rank"))
+            for name, rank in ranks.items()
+        ]
     )
-    if few_keys:
-        return histogram, F.broadcast
-    histogram = write_table(histogram, "histogram")
-    # A table of ranks has one row per group and rank, as wide as its keys.
-    width = sum((F.octet_length(F.col(g).cast("string")) for g in group), F.lit(0))
-    groups = histogram.select(*group).distinct().agg(
-        F.count("*").alias("n"), F.coalesce(F.max(width), F.lit(0)).alias("widest")
-    ).first()
-    size = groups["n"] * ranks * (groups["widest"] + RANK_BYTES)
-    return histogram, (F.broadcast if size <= BROADCAST_BYTES else lambda table: table)
+    return _holding(cells.withColumn("size", size).withColumn("want", wanted), group)
 
 
 # The two middle ranks; their mean is the median.
@@ -145,52 +170,38 @@ MIDDLE = {
 }
 
 
-def medians(df: DataFrame, keys: list[str], value: str, few_keys: bool = False) -> DataFrame:
-    """Exact median per group as ``keys, median``."""
-    middle = order_statistics(df, keys, value, MIDDLE, few_keys)
-    return middle.select(*keys, ((F.col("mid_low") + F.col("mid_high")) / 2.0).alias("median"))
+def medians(df: DataFrame, keys: list[str], value: str, stored: bool = False, basics: bool = False) -> DataFrame:
+    """Exact median per group as ``keys, median``, with ``basics`` also ``mean, min, max``."""
+    middle = order_statistics(df, keys, value, MIDDLE, stored, basics)
+    median = (F.col("mid_low") + F.col("mid_high")) / 2.0
+    return middle.select(*keys, median.alias("median"), *(BASICS if basics else []))
 
 
-def running_totals(
-    df: DataFrame, keys: list[str], value: str, sums: list[str], fine_cells: int = 256
-) -> DataFrame:
-    """Totals over all rows with a value at least as large, per group.
+def by_ranges(df: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
+    """Store ``df`` in ranges of (keys, value from the top), numbered by ``range``.
 
-    ``df`` has one row per distinct (keys, value). Adds ``cum_<sum>`` for every name in
-    ``sums`` and keeps the ``coarse``/``fine`` cell columns, so that a following step
-    can use the same cells. The window sees one small cell at a time; the totals of the
-    cells above come from a table of at most (coarse cells x fine cells) rows per group.
+    ``df`` has one row per distinct (keys, value), so ranges of about as many rows exist
+    for every distribution. Their number is that of the session's shuffle partitions.
     """
-    # One row per coarse cell: at most 355 per group for scores in 0..1.
-    bounds = (
-        df.groupBy(*keys, coarse_bucket(F.col(value)).alias("coarse"))
-        .agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    )
-    celled = (
-        df.withColumn("coarse", coarse_bucket(F.col(value)))
-        .join(F.broadcast(bounds), [*keys, "coarse"])
-        .withColumn("fine", fine_bucket(F.col(value), F.col("low"), F.col("high"), fine_cells))
-        .drop("low", "high")
-    )
-    return cumulate(celled, keys, value, sums)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(ranges, *keys, F.desc(value))
+    return write_table(cut.withColumn("range", F.spark_partition_id()), label)
+
 
+def running_totals(ranged: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """Totals over all rows with a value at least as large, per group, as ``cum_<sum>``.
 
-def cumulate(celled: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
-    """Running totals over a table that already carries its cells."""
-    cell = [*keys, "coarse", "fine"]
-    above = cells_above(celled, keys, [F.sum(s).alias(s) for s in sums])
-    descending = W.partitionBy(*keys).orderBy(F.desc("coarse"), F.desc("fine"))
+    ``ranged`` comes from ``by_ranges``. A window sees the rows of one range; what lies above
+    comes from a table of one row per range and group.
+    """
+    above = ranged.groupBy(*keys, "range").agg(*[F.sum(s).alias(s) for s in sums])
+    ranges_above = W.partitionBy(*keys).orderBy("range")
     above = above.select(
-        *cell, *[(F.sum(s).over(descending) - F.col(s)).alias(f"above_{s}") for s in sums]
+        *keys, "range", *[(F.sum(s).over(ranges_above) - F.col(s)).alias(f"above_{s}") for s in sums]
     )
-    inside = W.partitionBy(*cell).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "range").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
     return (
-        celled.join(above, cell)
+        ranged.join(above, [*keys, "range"])
         .withColumns({f"cum_{s}": F.sum(s).over(inside) + F.col(f"above_{s}") for s in sums})
         .drop(*[f"above_{s}" for s in sums])
     )
-
-
-def cells_above(celled: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    """One row per cell with the given aggregates."""
-    return celled.groupBy(*keys, "coarse", "fine").agg(*aggregates)

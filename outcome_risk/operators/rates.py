@@ -19,6 +19,7 @@ from outcome_risk.functions.values import (
 )
 from outcome_risk.operators.ranking import medians
 from outcome_risk.roles import Roles, empty, quoted
+from outcome_risk.storage import write_table
 
 RISK_CATEGORIES = bands.POPULATION[1]
 
@@ -88,15 +89,11 @@ def amount_by_group(df: DataFrame, roles: Roles) -> DataFrame:
     slim = df.filter(quoted(roles.group).isNotNull()).select(
         quoted(roles.group).alias("grp"), number(df, roles.amount).alias("amount")
     )
-    basics = slim.groupBy("grp").agg(
-        F.avg("amount").alias("mean"), F.min("amount").alias("min"), F.max("amount").alias("max")
-    )
-    middles = medians(slim, ["grp"], "amount")
-    return (
-        basics.join(middles, "grp", "left")
-        .select("grp", "mean", "median", "min", "max")
-        .orderBy("grp")
-    )
+    slim = write_table(slim, "amounts")
+    groups = slim.groupBy("grp").agg(F.count("amount").alias("n"))
+    found = medians(slim, ["grp"], "amount", stored=True, basics=True)
+    # a group without any amount has a row too
+    return groups.join(found, "grp", "left").select("grp", "mean", "median", "min", "max").orderBy("grp")
 
 
 def score_means_by_group(df: DataFrame, roles: Roles) -> DataFrame:
@@ -185,8 +182,15 @@ def kpi_summary(df: DataFrame, roles: Roles) -> DataFrame:
     """One row of headline figures; a figure whose role is absent is null."""
     missing = F.lit(None).cast("double")
     figures = [F.count("*").alias("total_employees")]
+    slim = df.select(
+        (lenient_target(df, roles.target) if roles.target else missing).alias("outcome"),
+        (number(df, roles.amount) if roles.amount else missing).alias("amount"),
+        (number(df, roles.age) if roles.age else missing).alias("age"),
+    )
+    if roles.amount:
+        slim = write_table(slim, "figures")  # read again for the median
     if roles.target:
-        outcome = lenient_target(df, roles.target)
+        outcome = F.col("outcome")
         left = F.coalesce(F.sum(outcome), F.lit(0.0)).cast("long")
         figures += [
             half_even(F.avg(outcome) * 100.0, 2).alias("attrition_rate"),
@@ -199,13 +203,11 @@ def kpi_summary(df: DataFrame, roles: Roles) -> DataFrame:
             missing.cast("long").alias("attritioned"),
             missing.cast("long").alias("retained"),
         ]
-    amount = F.avg(number(df, roles.amount)) if roles.amount else missing
-    age = F.avg(number(df, roles.age)) if roles.age else missing
-    figures += [half_even(amount, 2).alias("avg_income"), half_even(age, 2).alias("avg_age")]
-    summary = df.agg(*figures)
+    figures += [half_even(F.avg("amount"), 2).alias("avg_income"), half_even(F.avg("age"), 2).alias("avg_age")]
+    summary = slim.agg(*figures)
     if not roles.amount:
         return summary.withColumn("median_income", missing)
-    middle = medians(df.select(number(df, roles.amount).alias("amount")), [], "amount")
+    middle = medians(slim.select("amount"), [], "amount", stored=True)
     return summary.withColumn("median_income", half_even(middle.select("median").scalar(), 2))
 
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outcome_risk.functions.values import half_even, lenient_target, number
+from outcome_risk.operators.gram import pair_moments
 from outcome_risk.operators.ranking import order_statistics
 from outcome_risk.roles import Roles, empty, quoted
 
 # Columns of a chosen correlation matrix, rows shown per class.
 MATRIX_COLUMNS = 20
 HEAD_ROWS = 200
-# Pairs per aggregate: those of twenty columns.
-PAIR_BLOCK = 210
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -28,30 +24,25 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
-    """``row_name, col_name, corr`` of all pairs, mirrored: one aggregate per block of pairs."""
-    pairs = list(combinations_with_replacement(names, 2))
-    if not pairs:
-        return empty(df, "row_name string, col_name string, corr double")
-    values = df.select(*[number(df, c).alias(c) for c in names])
-    blocks = [pairs[i : i + PAIR_BLOCK] for i in range(0, len(pairs), PAIR_BLOCK)]
-    return reduce(DataFrame.unionByName, [_correlations(values, block) for block in blocks])
-
+    """``row_name, col_name, corr`` of all pairs from one scan, whatever their number.
 
-def _correlations(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    once = values.agg(
-        *[pearson(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    Null where either is constant over the rows where both are known, NaN where these hold
+    an infinity.
+    """
+    if not names:
+        return empty(df, "row_name string, col_name string, corr double")
+    pairs = pair_moments(df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)]))
+    # the squares of the pair's other column stand in the mirrored cell
+    mirrored = pairs.select(F.col("row").alias("col"), F.col("col").alias("row"), F.col("squares").alias("others"))
+    size = F.sqrt(F.col("squares") * F.col("others"))
+    corr = F.try_divide(F.col("products"), size)
+    bounded = F.when(corr > 1.0, 1.0).when(corr < -1.0, -1.0).otherwise(corr)
+    named = F.array(*[F.lit(c) for c in names])
+    return pairs.join(mirrored, ["row", "col"]).select(
+        F.get(named, F.col("row")).alias("row_name"),
+        F.get(named, F.col("col")).alias("col_name"),
+        F.when(F.col("broken") > 0, float("nan")).otherwise(half_even(bounded, 3)).alias("corr"),
     )
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in dict.fromkeys([(a, b), (b, a)]):
-            cells.append(
-                F.struct(
-                    F.lit(x).alias("row_name"),
-                    F.lit(y).alias("col_name"),
-                    half_even(F.col(f"c{i}"), 3).alias("corr"),
-                )
-            )
-    return once.select(F.inline(F.array(*cells)))
 
 
 def top_corr_columns(

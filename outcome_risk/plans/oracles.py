@@ -256,12 +256,6 @@ FIVE = """SELECT class, any_value(n) AS n, max(amount) FILTER (rn = 1) AS min,
   max(amount) FILTER (rn = n * 3 // 4 + 1) AS q3, max(amount) FILTER (rn = n) AS max
 FROM o GROUP BY class"""
 put("five_number_by_class", FIVE, ORDERED.format(order="amount", source="s"))
-HEAD = """
-h AS (
-  SELECT * FROM s WHERE target IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY target ORDER BY id) <= 200
-)"""
-put("five_number_of_head", FIVE, HEAD, ORDERED.format(order="amount", source="h"))
 put(
     "head_per_class",
     "SELECT class, CAST(rn AS INT) AS position, amount FROM o WHERE rn <= 200",
@@ -346,6 +340,31 @@ put(
         for a, x in (("Department", "grp"), ("JobRole", "role"), ("OverTime", "flag"))
     ),
 )
+_NONE = "NULL::BIGINT AS option_position, NULL::VARCHAR AS option, NULL::BOOLEAN AS is_default"
+_FORM = {"Department": "grp", "OverTime": "flag", "MonthlyIncome": "amount", "Age": "age", "YearsAtCompany": "tenure", "Senior": "CAST(tenure >= 10 AS INT)"}
+
+
+def _field(position: int, name: str, x: str) -> str:
+    if name in ("Department", "OverTime"):
+        return f"""SELECT {position} AS position, '{name}' AS name, 'categorical' AS type,
+        row_number() OVER (ORDER BY v) - 1 AS option_position, v AS option, row_number() OVER (ORDER BY v) = 1 AS is_default,
+        NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS median, NULL::DOUBLE AS mean, NULL::DOUBLE AS step
+        FROM (SELECT DISTINCT coalesce({x}, 'nan') AS v FROM s)"""
+    step = "0.1" if name in ("MonthlyIncome", "Senior") else "1.0"
+    return f"""SELECT {position}, '{name}', 'numeric', {_NONE}, min({x})::DOUBLE, max({x})::DOUBLE, median({x})::DOUBLE,
+        {even(f'avg({x})', 2)}, {step}::DOUBLE FROM s"""
+
+
+put("field_table", " UNION ALL ".join(_field(i, name, x) for i, (name, x) in enumerate(_FORM.items())))
+put(
+    "default_scenario",
+    "SELECT "
+    + ", ".join(
+        f"min(coalesce({x}, 'nan')) AS \"{name}\"" if name in ("Department", "OverTime") else f"median({x})::DOUBLE AS \"{name}\""
+        for name, x in _FORM.items()
+    )
+    + " FROM s",
+)
 CODED = f"""
 e AS (
   SELECT id, amount AS "MonthlyIncome", CAST(age AS DOUBLE) AS "Age",
@@ -743,6 +762,26 @@ put(
     "le AS (SELECT model, count(*) AS length FROM pt GROUP BY model)",
 )
 
+put(
+    "model_report",
+    """SELECT 'metric' AS section, model, metric AS name, NULL::INT AS position, NULL::DOUBLE AS x, value AS y,
+           value = max(value) OVER (PARTITION BY metric) AS flag
+    FROM (UNPIVOT al ON accuracy, precision, recall, f1, auc_roc INTO NAME metric VALUE value)
+    UNION ALL SELECT 'cell', model, 'TN', 0, NULL, tn::DOUBLE, NULL FROM n
+    UNION ALL SELECT 'cell', model, 'FP', 1, NULL, fp::DOUBLE, NULL FROM n
+    UNION ALL SELECT 'cell', model, 'FN', 2, NULL, fn::DOUBLE, NULL FROM n
+    UNION ALL SELECT 'cell', model, 'TP', 3, NULL, tp::DOUBLE, NULL FROM n
+    UNION ALL SELECT 'curve', pt.model, NULL, CAST(step AS INT), fpr, tpr, NULL
+    FROM (SELECT model, length, least((SELECT max(length) FROM le), 100) AS m FROM le) x, range(100) r(step)
+    JOIN pt ON pt.model = x.model AND pt.point = step * x.length // x.m WHERE step < x.m""",
+    models(2),
+    QUALITY,
+    AREA,
+    METRICS,
+    CURVE,
+    "le AS (SELECT model, count(*) AS length FROM pt GROUP BY model)",
+)
+
 # Scenarios
 
 # The keywords and advice in this statement.

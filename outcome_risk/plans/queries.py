@@ -253,7 +253,6 @@ _plain("group_counts", profile.group_counts)
 _plain("overview_rates", rates.overview_rates)
 _plain("head_per_class", stats.head_per_class)
 _plain("five_number_by_class", stats.five_number_by_class)
-_plain("five_number_of_head", stats.five_number_of_head)
 
 
 @query
@@ -320,6 +319,29 @@ def field_profile_categorical(spark, sf_dir):
     return profile.field_profile_categorical(encoder)
 
 
+FORM = ["Department", "OverTime", "MonthlyIncome", "Age", "YearsAtCompany", "Senior"]
+
+
+def _form(spark, sf_dir):
+    """The table with a Boolean feature, its encoder and the types of its form fields."""
+    df, _ = _hr(spark, sf_dir)
+    df = df.withColumn("Senior", F.col("YearsAtCompany") >= 10)
+    encoder = encoding.stored_encoder(df, ["Department", "OverTime"])
+    return df, encoder, profile.field_types(df, FORM)
+
+
+@query
+def field_table(spark, sf_dir):
+    df, encoder, _ = _form(spark, sf_dir)
+    return profile.field_table(df, FORM, encoder)
+
+
+@query
+def default_scenario(spark, sf_dir):
+    df, encoder, types = _form(spark, sf_dir)
+    return profile.default_scenario(profile.field_table(df, FORM, encoder), types)
+
+
 def _encoded(spark, sf_dir, names=("Department", "OverTime")):
     df, _ = _hr(spark, sf_dir)
     encoder = encoding.stored_encoder(df, list(names))
@@ -650,6 +672,28 @@ def compare_models(spark, sf_dir):
     return evaluate.compare_models(evaluate.evaluate(tables.scored_models(spark, sf_dir)))
 
 
+@query
+def model_report(spark, sf_dir):
+    """Metrics with the best flagged, matrix cells and thinned curve of three fixed models."""
+    found = evaluate.model_report(tables.scored_models(spark, sf_dir))
+    none = F.lit(None)
+    parts = [
+        found["comparison"].select(
+            F.lit("metric").alias("section"), "model", F.col("metric").alias("name"), none.cast("int").alias("position"),
+            none.cast("double").alias("x"), F.col("value").alias("y"), F.col("is_best").alias("flag"),
+        ),
+        found["confusion"].select(
+            F.lit("cell"), "model", "cell", (F.col("actual") * 2 + F.col("predicted")).cast("int"),
+            none.cast("double"), F.col("count").cast("double"), none.cast("boolean"),
+        ),
+        found["curve"].select(
+            F.lit("curve"), "model", none.cast("string"), F.col("step").cast("int"), F.round("fpr", 9), F.round("tpr", 9),
+            none.cast("boolean"),
+        ),
+    ]
+    return functools.reduce(DataFrame.union, parts)
+
+
 # Score and explain
 
 

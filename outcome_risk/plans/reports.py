@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from outcome_risk.functions.values import filter_in
-from outcome_risk.operators import encoding, explain, profile, rates, rules, score, stats
+from outcome_risk.operators import encoding, evaluate, explain, profile, rates, rules, score, stats
 from outcome_risk.operators.training import Training, train
-from outcome_risk.roles import Roles, column_families, drop_columns, resolve_roles
+from outcome_risk.roles import Roles, column_families, resolve_roles
+from outcome_risk.storage import write_table
 
 
 def _roles(df: DataFrame, roles: Roles | None) -> Roles:
@@ -32,13 +33,15 @@ def upload_report(df: DataFrame, roles: Roles | None = None) -> dict[str, DataFr
 def metadata_report(
     df: DataFrame, encoder: DataFrame, roles: Roles | None = None
 ) -> dict[str, DataFrame]:
-    """Form fields: options of the text features, ranges of the numeric ones."""
+    """Form fields of all features in order (Booleans included), and a scenario of their defaults."""
     roles = _roles(df, roles)
-    families = column_families(drop_columns(df), roles.target)
-    numeric = [c for c, family in families.items() if family == "numeric"]
+    features = encoding.feature_columns(df, roles)
+    fields = write_table(profile.field_table(df, features, encoder), "fields")
     return {
+        "fields": fields.orderBy("position", "option_position"),
         "categorical": profile.field_profile_categorical(encoder),
-        "numeric": profile.field_profile_numeric(df, numeric),
+        "numeric": fields.filter("type = 'numeric'").select("name", "min", "max", "mean", "median", "step"),
+        "default": profile.default_scenario(fields, profile.field_types(df, features)),
     }
 
 
@@ -97,6 +100,11 @@ def train_report(
     return training, encoded, encoder
 
 
+def model_report(training: Training) -> dict[str, DataFrame]:
+    """Metrics, matrix cells, thinned curves and comparison of the trained models."""
+    return evaluate.model_report(training.test_scores)
+
+
 def risk_report(
     encoded: DataFrame, model, features: list[str], roles: Roles | None = None
 ) -> dict[str, DataFrame]:

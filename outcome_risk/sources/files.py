@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from outcome_risk.functions.values import nan_to_null, parsed_number
 from outcome_risk.roles import quoted
+from outcome_risk.sources.records import opens, read_spanning
 
 # Texts read as null.
 NULL_TOKENS = [
@@ -34,23 +35,22 @@ def load_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     null_tokens: list[str] | None = None,
-    multi_line: bool = False,
 ) -> DataFrame:
     """Read a table by suffix, or by ``fmt``.
 
     Delimited text has a header. Without a schema the types are found in one pass over
-    the file. ``multi_line`` reads quoted line breaks, one task per file; without it large
-    files are split by line, and a line that leaves a quote open is an error.
+    the file. Files are read in splits, by many tasks, whether or not quoted fields hold line
+    breaks: a scan for lines that leave a quote open tells.
     """
     fmt = fmt or format_of(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unsupported file format: {fmt}; use CSV or Parquet")
-    if not multi_line:
-        _check_quotes(spark, path)
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    texts = reader.csv(path)
+    if spark.read.text(path).filter(opens(F.col("value"))).isEmpty():
+        texts = spark.read.option("header", True).option("escape", '"').csv(path)
+    else:
+        texts = read_spanning(spark, path)
     tokens = NULL_TOKENS if null_tokens is None else null_tokens
     cleaned = texts.select(
         *[F.when(~quoted(c).isin(tokens), quoted(c)).alias(c) for c in texts.columns]
@@ -68,13 +68,6 @@ def load_table(
     )
 
 
-def _check_quotes(spark: SparkSession, path: str) -> None:
-    """Raise when a line leaves a quote open; stops at the first such line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
-        raise ValueError(f"a line of {path} leaves a quote open; use multi_line=True")
-
-
 def _typed(text: Column, kind: str) -> Column:
     if kind == "string":
         return text

@@ -1,12 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from outcome_risk.operators import evaluate, stats
+from outcome_risk.operators import evaluate, ranking, stats
 from outcome_risk.operators.encoding import apply_encoder, fit_encoder, stored_encoder
-from outcome_risk.operators.ranking import MIDDLE, medians, order_statistics, running_totals
+from outcome_risk.operators.ranking import MIDDLE, by_ranges, medians, order_statistics, running_totals
 from outcome_risk.operators.splitting import stratified_folds, stratified_split
 from outcome_risk.roles import resolve_roles
 
@@ -29,11 +31,12 @@ def skewed(spark):
     return spark.createDataFrame(frame).repartition(7), frame
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_order_statistics(skewed, few):
+@pytest.mark.parametrize("cells", [1 << 16, 16])
+def test_order_statistics(skewed, monkeypatch, cells):
+    monkeypatch.setattr(ranking, "CELLS", cells)  # sixteen rows make all passes necessary
     df, frame = skewed
     ranks = {"first": lambda n: F.lit(0), "q3": lambda n: F.floor(n * 3 / 4), "last": lambda n: n - 1}
-    found = {r["g"]: r for r in order_statistics(df, ["g"], "v", ranks, few).collect()}
+    found = {r["g"]: r for r in order_statistics(df, ["g"], "v", ranks).collect()}
     expected = frame.dropna().groupby("g")["v"].apply(lambda v: sorted(v))
     assert set(found) == set(expected.index)
     for group, values in expected.items():
@@ -55,22 +58,87 @@ def test_median_of_everything_and_of_nothing(spark, skewed):
     assert set(MIDDLE) == {"mid_low", "mid_high"}
 
 
+@given(st.lists(st.floats(allow_nan=False), min_size=1, max_size=40))
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+def test_bits_keep_order_and_value(spark, values):
+    edges = [0.0, -0.0, 5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, float("inf"), 0.1, 1.0]
+    edges += [2.0**e for e in range(-1074, 1024, 67)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1000, 1000, 97)]
+    df = spark.createDataFrame([(v,) for v in [*values, *edges, *(-v for v in edges)]], "v double")
+    rows = df.select("v", ranking.ordered_bits(F.col("v")).alias("b")).withColumn("back", ranking.from_bits(F.col("b"))).collect()
+    assert all(r["back"] == r["v"] for r in rows)
+    rows.sort(key=lambda r: r["b"])
+    assert all(x["v"] < y["v"] if x["b"] < y["b"] else x["v"] == y["v"] for x, y in zip(rows, rows[1:]))
+
+
+def cells_of_each_pass(monkeypatch):
+    """Cells per group that the tasks of every pass of a search hold."""
+    largest, holding = [], ranking._holding
+
+    def watched(cells, keys):
+        largest.append(cells.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return holding(cells, keys)
+
+    monkeypatch.setattr(ranking, "_holding", watched)
+    return largest
+
+
+def test_crowded_values_never_share_a_window(spark, monkeypatch):
+    """200 000 values below 1e-5 and two large ones: no pass has more cells than a digit."""
+    largest = cells_of_each_pass(monkeypatch)
+    df = spark.range(200_000).select((F.col("id") * 5e-11).alias("v")).union(spark.createDataFrame([(1e9,), (2e9,)], "v double"))
+    found = order_statistics(df, [], "v", {"q1": lambda n: F.floor(n / 4), "last": lambda n: n - 1}).first()
+    assert (found["n"], found["q1"], found["last"]) == (200_002, 50_000 * 5e-11, 2e9)
+    assert max(largest) <= ranking.CELLS and len(largest) == 2
+    largest.clear()
+    near = spark.range(300_000).select((F.lit(1e9) + F.col("id") / 4096.0).alias("v"))
+    found = order_statistics(near, [], "v", {"mid": lambda n: F.floor(n / 2)}).first()
+    assert found["mid"] == 1e9 + 150_000 / 4096.0
+    assert max(largest) <= ranking.CELLS and len(largest) == 4
+
+
+def test_whole_numbers_of_sixty_bits(spark):
+    df = spark.range(5000).select((F.lit(1 << 59) + F.col("id")).alias("v"))
+    found = order_statistics(df, [], "v", {"at": lambda n: F.lit(4321)}, basics=True).first()
+    assert (found["at"], found["min"], found["max"]) == ((1 << 59) + 4321, 1 << 59, (1 << 59) + 4999)
+
+
+def test_basics_come_with_the_ranks(skewed):
+    df, frame = skewed
+    finite = frame[np.isfinite(frame["v"]) & frame["g"].notna()]
+    found = {r["g"]: r for r in medians(df.filter(F.abs("v") < float("inf")), ["g"], "v", basics=True).collect()}
+    for group, values in finite.groupby("g")["v"]:
+        row = found[group]
+        assert (row["median"], row["min"], row["max"]) == (values.median(), values.min(), values.max())
+        assert row["mean"] == pytest.approx(values.mean(), rel=1e-9, abs=1e284)
+
+
+def crowded_scores(spark):
+    """Scores far below 1e-5 next to ordinary ones, two models of different size."""
+    low = spark.range(60_000).select(F.lit("a").alias("m"), (F.col("id") * 1e-12).alias("p"))
+    rest = spark.range(1, 500).select(F.lit("b").alias("m"), (F.col("id") / 500.0).alias("p"))
+    return low.union(rest).withColumn("n", (F.hash("p") % 5 + 5).cast("long"))
+
+
 def test_running_totals(spark):
-    rng = np.random.default_rng(3)
-    scores = np.unique(np.concatenate([rng.random(2000) * 1e-9, rng.random(500), [0.0, 1.0]]))
-    frame = pd.DataFrame({"m": "a", "p": scores, "n": rng.integers(1, 5, len(scores))})
-    df = spark.createDataFrame(frame)
-    totals = running_totals(df, ["m"], "p", ["n"])
+    ranged = by_ranges(crowded_scores(spark), ["m"], "p", "test")
+    totals = running_totals(ranged, ["m"], "p", ["n"])
     whole = W.partitionBy("m").orderBy(F.desc("p"))
     check = totals.withColumn("expected", F.sum("n").over(whole))
-    assert check.count() == len(scores)
+    assert check.count() == 60_499
     assert check.filter("expected <> cum_n").count() == 0
 
 
+def test_crowded_scores_are_dealt_evenly(spark):
+    ranged = by_ranges(crowded_scores(spark), ["m"], "p", "test")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranged.groupBy("range", "m").count().agg(F.max("count")).first()[0] < 2 * 60_499 / ranges
+
+
 def test_no_rank_needs_a_whole_class_in_one_task(skewed):
     df, _ = skewed
-    plan = order_statistics(df, ["g"], "v", MIDDLE, few_keys=True)._jdf.queryExecution().toString()
+    plan = order_statistics(df, ["g"], "v", MIDDLE)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "SortAggregate" not in plan
 
 
 def test_split_is_exact_and_stable(spark):

@@ -63,9 +63,7 @@ def test_quoted_line_breaks_and_suffixed_numbers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a\nb "c"', "1D"), (2, "x", "2F"), (3, "y", "1F")], "id int, t string, v string")
     path = str(tmp_path / "breaks.csv")
     export_csv(df.coalesce(1), path)
-    with pytest.raises(ValueError, match="quote open"):
-        load_table(spark, path)
-    back = load_table(spark, path, multi_line=True).orderBy("id").collect()
+    back = load_table(spark, path).orderBy("id").collect()
     assert [tuple(r) for r in back] == [(1, 'a\nb "c"', "1D"), (2, "x", "2F"), (3, "y", "1F")]
     export_csv(df.filter("id > 1"), str(tmp_path / "plain.csv"))
     given = load_table(spark, str(tmp_path / "plain.csv"), schema="id int, t string, v double").collect()
@@ -84,6 +82,9 @@ def test_reports_without_a_model(hr):
     fields = reports.metadata_report(hr, encoder)
     assert fields["categorical"].filter("is_default").count() == 3
     assert fields["numeric"].count() == 6
+    assert fields["fields"].select("name").distinct().count() == 9
+    default = fields["default"].first()
+    assert default["OverTime"] == "No" and default["MonthlyIncome"] == hr.selectExpr("median(MonthlyIncome)").first()[0]
 
 
 def test_train_score_explain_scenario(spark, hr):
