@@ -153,14 +153,18 @@ def default_scenario(fields: DataFrame, types: dict[str, str]) -> DataFrame:
     )
 
 
-def fill_values(encoded: DataFrame, features: list[str], categorical: list[str]) -> DataFrame:
+def fill_values(
+    encoded: DataFrame, features: list[str], categorical: list[str], stored: bool = False
+) -> DataFrame:
     """Median of every encoded feature, and the mode of the categorical ones.
 
     The mode (smallest code on ties) replaces an unseen category, so numeric
     features have none.
     """
     # Stored, as the median search passes several times over what may be a join.
-    encoded = write_table(encoded.select(*[number(encoded, f).alias(f) for f in features]), "features")
+    encoded = encoded.select(*[number(encoded, f).alias(f) for f in features])
+    if not stored:
+        encoded = write_table(encoded, "features")
     values = long_values(encoded, features)
     middles = medians(values, ["feature"], "value", stored=True)
     if not categorical:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import json
 import logging
 import random
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outcome_risk.functions.values import number
@@ -25,7 +28,7 @@ from outcome_risk.operators.splitting import (
     stratified_split,
 )
 from outcome_risk.roles import quoted
-from outcome_risk.storage import write_table
+from outcome_risk.storage import shared_root, write_table
 
 log = logging.getLogger(__name__)
 
@@ -52,6 +55,9 @@ SEARCH_SPACES = {
 DRAWS = {FOREST: 10, BOOSTED: 10, LOGISTIC: 6}
 LOGISTIC_ITERATIONS = 1000
 LOGISTIC_TOLERANCE = 1e-4
+#: Rows that one task of a fit takes at least, and fits that run side by side.
+ROWS_PER_TASK = 50_000
+PARALLELISM = 8
 
 
 def drawn_settings(space: dict[str, list], draws: int, seed: int = SEED) -> list[dict]:
@@ -106,34 +112,110 @@ def f1_score(predicted: DataFrame) -> float:
     return predicted.agg(score.alias("f1")).first()["f1"]
 
 
+class Ledger:
+    """Scores of a search in a folder: a stopped search goes on with the fits that are missing.
+
+    A row is one fit: a fingerprint of the rows searched over, model, setting, fold, F1.
+    Scores of other rows are never taken for these.
+    """
+
+    SCHEMA = "run string, model string, setting string, fold int, score double"
+
+    def __init__(self, spark: SparkSession, path: str | None):
+        self.spark, self.path = spark, path
+
+    def scores(self, run: str, model: str) -> dict[tuple[str, int], float]:
+        if self.path is None:
+            return {}
+        self._write([])  # so that there is a folder to read
+        known = self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
+        mine = known.filter((F.col("run") == run) & (F.col("model") == model))
+        return {(r["setting"], r["fold"]): r["score"] for r in mine.collect()}
+
+    def add(self, run: str, model: str, setting: str, fold: int, score: float) -> None:
+        if self.path is not None:
+            self._write([(run, model, setting, fold, score)])
+
+    def _write(self, rows: list[tuple]) -> None:
+        """A folder of its own per fit, as fits end side by side."""
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+
+
+def fingerprint(folds: list[tuple[DataFrame, DataFrame]]) -> str:
+    """Rows and hash of what is searched over, in any order."""
+    parts = []
+    for _, outer in folds:
+        weight = [F.col("weight")] if "weight" in outer.columns else []
+        row = F.xxhash64(vector_to_array("features"), F.col("label"), *weight)
+        parts.append(outer.agg(F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0))).first())
+    return "|".join(f"{n}:{h}" for n, h in parts)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Assembled rows kept for many fits, in no more tasks than they are worth."""
+    names = [c for c in ("features", "label", "weight") if c in df.columns]
+    kept = df.select(*names)
+    tasks = max(1, -(-kept.count() // ROWS_PER_TASK))
+    return kept.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def cut_lineage(spark: SparkSession) -> None:
+    """Let learners that iterate cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/learners")
+
+
 def random_search_cv(
     name: str,
     folds: list[tuple[DataFrame, DataFrame]],
     whole: DataFrame,
     settings: list[dict],
     weighted: bool = False,
-    parallelism: int = 4,
+    parallelism: int = PARALLELISM,
     seed: int = SEED,
+    ledger: str | None = None,
 ):
     """Fit every setting on each fold, take the best mean F1, refit it on all rows.
 
     ``folds`` holds (training, validation) pairs with ``features, label`` (and
-    ``weight``). Returns the model and the mean scores in the order of the settings.
+    ``weight``), which are kept while they are fitted on. With ``ledger``, a folder, each
+    score is written down as it is known, and a repeated call fits only what is missing.
+    Returns the model and the mean scores in the order of the settings.
     """
+    spark = whole.sparkSession
+    cut_lineage(spark)
     estimator = estimator_for(name, weighted, seed)
-    totals = [0.0] * len(settings)
-    for inner, outer in folds:
-        maps = param_maps(estimator, settings, loss_weight(inner, weighted))
-
-        def run(params: dict) -> float:
-            return f1_score(estimator.fit(inner, params).transform(outer))
-
+    book = Ledger(spark, ledger)
+    run = fingerprint(folds) if ledger else ""
+    known = book.scores(run, name)
+    keys = [json.dumps(s, sort_keys=True) for s in settings]
+    missing = [(i, f) for f in range(len(folds)) for i in range(len(settings)) if (keys[i], f) not in known]
+    pairs = {f: (held(folds[f][0]), held(folds[f][1])) for f in sorted({f for _, f in missing})}
+    try:
+        maps = {f: param_maps(estimator, settings, loss_weight(inner, weighted)) for f, (inner, _) in pairs.items()}
+
+        def fit(task: tuple[int, int]) -> None:
+            i, f = task
+            inner, outer = pairs[f]
+            score = f1_score(estimator.fit(inner, maps[f][i]).transform(outer))
+            book.add(run, name, keys[i], f, score)
+            known[keys[i], f] = score
+
+        # threads that carry the caller's job group, so that cancelling it reaches every fit
         with ThreadPoolExecutor(parallelism) as pool:
-            for i, score in enumerate(pool.map(run, maps)):
-                totals[i] += score / len(folds)
+            list(pool.map(inheritable_thread_target(spark)(fit), missing))
+    finally:
+        for pair in pairs.values():
+            for df in pair:
+                df.unpersist()
+    totals = [sum(known[k, f] for f in range(len(folds))) / len(folds) for k in keys]
     best = max(range(len(settings)), key=lambda i: totals[i])
-    params = param_maps(estimator, [settings[best]], loss_weight(whole, weighted))[0]
-    return estimator.fit(whole, params), totals
+    rows = held(whole)
+    try:
+        params = param_maps(estimator, [settings[best]], loss_weight(rows, weighted))[0]
+        return estimator.fit(rows, params), totals
+    finally:
+        rows.unpersist()
 
 
 def fold_pairs(folded: DataFrame, folds: int = FOLDS) -> list[tuple[DataFrame, DataFrame]]:
@@ -285,8 +367,9 @@ def train(
     balance: str = "both",
     cv_balance: str = "before",
     on_null: str = "error",
-    parallelism: int = 4,
+    parallelism: int = PARALLELISM,
     seed: int = SEED,
+    ledger: str | None = None,
 ) -> Training:
     """Split, balance, tune, calibrate, evaluate, choose.
 
@@ -294,6 +377,7 @@ def train(
     trees, the weight of the original classes). ``cv_balance`` cuts the folds after
     oversampling ("before") or oversamples inside each fold ("inside"). ``entity`` must be
     complete and unique. ``on_null="median"`` takes the medians of the training part.
+    ``ledger`` names a folder that keeps the search's scores, so a stopped run can go on.
     """
     names = models or [FOREST, BOOSTED, LOGISTIC]
     spaces = spaces or SEARCH_SPACES
@@ -347,7 +431,7 @@ def train(
             pairs = fold_pairs(learnable(folded, features, factor))
         whole = learnable(keyed, features, factor)
         model, scores = random_search_cv(
-            name, pairs, whole, settings, weighted, parallelism, seed
+            name, pairs, whole, settings, weighted, parallelism, seed, ledger
         )
         cal = model.transform(assemble(part["cal"], features))
         sigmoid = platt_calibrate(cal.select("label", raw_score(model).alias("score")))

@@ -632,13 +632,14 @@ for _name in ("fit_random_forest", "fit_boosted_trees", "fit_logistic"):
 SELECT doc_id, label, true AS in_unit_interval, true AS better_than_chance FROM parts WHERE split = 'test'"""
 ORACLES["platt_calibrate"] = f"""WITH {DOCUMENTS}, {PARTS}
 SELECT doc_id, label, true AS in_unit_interval, true AS slopes_vanish FROM parts WHERE split = 'test'"""
-ORACLES["random_search_cv"] = f"""WITH {DOCUMENTS}, {PARTS},
+for _name, _drawn in (("random_search_cv", 6), ("random_search_forest", 10), ("random_search_boosted", 10)):
+    ORACLES[_name] = f"""WITH {DOCUMENTS}, {PARTS},
 f AS (
   SELECT label, count(*) OVER (PARTITION BY label) AS n,
          row_number() OVER (PARTITION BY label ORDER BY {row_hash('fold42', 'doc_id')}) - 1 AS rn
   FROM parts WHERE split = 'train'
 )
-SELECT fold, label, count(*) AS n, CAST(6 AS INT) AS drawn, true AS best_refitted FROM (
+SELECT fold, label, count(*) AS n, CAST({_drawn} AS INT) AS drawn, true AS best_refitted FROM (
   SELECT label, (CASE WHEN rn >= n // 3 THEN 1 ELSE 0 END) + (CASE WHEN rn >= 2 * n // 3 THEN 1 ELSE 0 END) AS fold
   FROM f
 ) GROUP BY fold, label"""

@@ -491,8 +491,12 @@ def _fit(name, spark, sf_dir):
     weighted = name == training.BOOSTED
     ready = training.learnable(rows, features, weight)
     estimator = training.estimator_for(name, weighted)
-    maps = training.param_maps(estimator, [SETTINGS[name]], training.loss_weight(ready, weighted))
-    return estimator.fit(ready, maps[0]), split, features
+    training.cut_lineage(spark)
+    kept = training.held(ready)  # assembled once, however often the learner reads it
+    maps = training.param_maps(estimator, [SETTINGS[name]], training.loss_weight(kept, weighted))
+    model = estimator.fit(kept, maps[0])
+    kept.unpersist()
+    return model, split, features
 
 
 def _test_scores(model, name, split, features, part="test"):
@@ -716,9 +720,11 @@ def score_population(spark, sf_dir):
 
 
 def _scenarios(spark, sf_dir):
-    encoded, encoder = _encoded(spark, sf_dir)
     features, categorical = tables.SCENARIO_FEATURES, ["Department", "OverTime"]
-    fills = profile.fill_values(encoded, features, categorical)
+    narrow = write_table(_hr(spark, sf_dir)[0].select(*features), "scenario-features")
+    encoder = encoding.stored_encoder(narrow, categorical)
+    encoded = write_table(encoding.apply_encoder(narrow, encoder, categorical), "scenario-encoded")
+    fills = profile.fill_values(encoded, features, categorical, stored=True)
     rows = tables.scenarios(spark, sf_dir)
     complete = score.encode_scenarios(rows, features, categorical, encoder, fills)
     scored = score.score_scenarios(complete, tables.SCENARIO_MODEL, features)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,7 +28,31 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/outcome_risk/{label}-{uuid.uuid4().hex}"
+    """A fresh path, in the folder of the run that is open, if one is."""
+    folder = _folder.get() or f"{shared_root(spark)}/outcome_risk"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+class Run:
+    """The tables that one analysis stores, in a folder that can be given back."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.path = f"{shared_root(spark)}/outcome_risk/{label}-{uuid.uuid4().hex}"
+
+    @contextmanager
+    def open(self) -> Iterator[Run]:
+        """What is stored meanwhile goes to the run's folder."""
+        token = _folder.set(self.path)
+        try:
+            yield self
+        finally:
+            _folder.reset(token)
+
+    def release(self) -> None:
+        """Delete the run's tables; results that read them cannot be used any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

@@ -36,6 +36,26 @@ def test_neighbours_match_brute_force(spark, block_rows):
     assert got == expected
 
 
+def test_visited_cells_stay_few_as_rows_grow(spark):
+    """Ten times the rows: a deeper tree, but about as many candidates per vector."""
+    rng = np.random.default_rng(12)
+    per_vector, depths = [], []
+    for n in (400, 4000):
+        frame = pd.DataFrame({"vid": range(n), "x": rng.random((n, 2)).tolist(), "copies": 1})
+        points = write_table(spark.createDataFrame(frame), "points")
+        celled, levels = neighbours.pivot_tree(points, 20, 8)
+        assert celled.groupBy("cell").count().agg(F.max("count")).first()[0] <= 20
+        assert levels[-1].groupBy("parent").count().agg(F.max("count")).first()[0] <= 8
+        bound = 5.0 / n  # a disc with some fifteen vectors
+        asking = celled.select("vid", "x", F.col("cell").alias("home"), F.lit(bound).alias("bound"))
+        sizes = celled.groupBy("cell").count()
+        candidates = neighbours.visited_cells(asking, levels).join(sizes, "cell").agg(F.sum("count")).first()[0]
+        per_vector.append(candidates / n)
+        depths.append(len(levels))
+    assert depths[0] < depths[1]
+    assert per_vector[1] < 1.5 * per_vector[0]
+
+
 def test_salted_copies_give_the_same_rows(spark, monkeypatch):
     df, _ = imbalanced(spark, 23, 90, copies=8)
     key = ["entity", "synthetic", "a", "b"]
@@ -125,14 +145,36 @@ def test_tree_contributions_are_exact(spark, learnable, name):
     for r in rows:
         total = r["base"] + sum(c["contribution"] for c in r["contributions"])
         assert total == pytest.approx(scale * raw[r["entity"]], abs=1e-6)
+    packed = leaves.collect()
+    assert len(packed) == len(model.treeWeights)
+    flat = [x for t in packed for x in explain.unpack(t["values"], t["sizes"], t["features"], t["bounds"])]
     for r in rows[:5]:
         x = [r[f] for f in features]
-        phi = shapley(x, leaves, 4)
+        phi = shapley(x, flat, 4)
         assert [c["contribution"] for c in r["contributions"]] == pytest.approx(phi, abs=1e-9)
 
 
+def test_large_models_go_tree_by_tree(spark, learnable):
+    """A limit below a tree's size loads one tree at a time; the sums are the same."""
+    features = list("abcd")
+    model = training.estimator_for(training.FOREST).fit(training.assemble(learnable, features))
+    leaves = explain.ensemble_leaves(spark, model)
+    assert [len(g) for g in explain.tree_groups(leaves, 1)] == [1] * 20
+    assert len(explain.tree_groups(leaves, 1 << 30)) == 1
+    half = sum(len(r["bounds"]) + len(r["values"]) + len(r["sizes"]) + len(r["features"]) for r in leaves.collect()) // 2
+    whole, split = (
+        {r["entity"]: r for r in explain.tree_contributions(learnable, leaves, features, "any", limit).collect()}
+        for limit in (1 << 30, half)
+    )
+    assert len(explain.tree_groups(leaves, half)) in (2, 3)
+    for entity, r in whole.items():
+        assert split[entity]["base"] == pytest.approx(r["base"])
+        got = [c["contribution"] for c in split[entity]["contributions"]]
+        assert got == pytest.approx([c["contribution"] for c in r["contributions"]], abs=1e-12)
+
+
 def test_trees_are_evaluated_once_and_only_on_features(learnable):
-    leaves = [(0.5, np.array([1]), np.array([-np.inf]), np.array([0.0]), np.array([0.5]))]
+    leaves = [explain.Leaf(0.5, np.array([1]), np.array([-np.inf]), np.array([0.0]), np.array([0.5]))]
     explained = explain.tree_contributions(learnable, leaves, ["a", "b"], "any")
     plan = explain.with_drivers(explained)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1

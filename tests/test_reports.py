@@ -87,6 +87,21 @@ def test_reports_without_a_model(hr):
     assert default["OverTime"] == "No" and default["MonthlyIncome"] == hr.selectExpr("median(MonthlyIncome)").first()[0]
 
 
+def test_reports_read_their_table_once_and_can_be_released(spark, hr, tmp_path):
+    hr.write.parquet(str(tmp_path / "people"))
+    people = spark.read.parquet(str(tmp_path / "people"))
+    for make in (reports.dashboard_report, reports.eda_report):
+        report = make(people)
+        folder = report.run.path
+        for name, df in report.items():
+            files = df.inputFiles()
+            assert all(folder in f for f in files), (make.__name__, name)
+        kept = Path(folder.removeprefix("file://"))
+        assert any(kept.iterdir())
+        report.release()
+        assert not kept.exists()
+
+
 def test_train_score_explain_scenario(spark, hr):
     from outcome_risk.operators import training
 

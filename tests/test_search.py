@@ -1,5 +1,8 @@
 """The queries search the whole spaces of all three models."""
 
+import threading
+import time
+
 import pytest
 
 from outcome_risk.operators import training
@@ -52,6 +55,52 @@ def test_training_runs_on_the_whole_spaces(spark, monkeypatch):
     assert seen[0][0][3] == training.drawn_settings(forest, training.DRAWS[training.FOREST])
 
 
+def test_a_stopped_search_goes_on(spark, monkeypatch, tmp_path):
+    """Fits that the ledger has are not made again; another table's are."""
+    df = spark.range(240).selectExpr("id % 3 AS fold", "CAST(id % 4 = 0 AS INT) AS label", "CAST(id % 8 AS DOUBLE) AS a")
+    ready = training.learnable(df, ["a"], None)
+    settings = training.drawn_settings(training.SEARCH_SPACES[training.LOGISTIC], 6)
+    fits, score, ledger = [], training.f1_score, str(tmp_path / "ledger")
+
+    def stopped(predicted):
+        fits.append(1)
+        if len(fits) > 7:
+            raise Called
+        return score(predicted)
+
+    monkeypatch.setattr(training, "f1_score", stopped)
+    args = (training.LOGISTIC, training.fold_pairs(ready), ready, settings, False, 1)
+    with pytest.raises(Called):
+        training.random_search_cv(*args, ledger=ledger)
+    fits.clear()
+    monkeypatch.setattr(training, "f1_score", lambda predicted: fits.append(1) or score(predicted))
+    _, scores = training.random_search_cv(*args, ledger=ledger)
+    assert len(fits) == 18 - 7
+    fits.clear()
+    assert training.random_search_cv(*args, ledger=ledger)[1] == scores and not fits
+    other = ready.filter("a < 7")
+    training.random_search_cv(training.LOGISTIC, training.fold_pairs(other), other, settings[:1], ledger=ledger)
+    assert len(fits) == 3
+
+
+def test_cancelling_the_job_group_ends_every_fit(spark):
+    df = spark.range(2000).selectExpr("id % 3 AS fold", "CAST(id % 4 = 0 AS INT) AS label", "rand(1) AS a")
+    ready = training.learnable(df, ["a"], None)
+    settings = training.drawn_settings(training.SEARCH_SPACES[training.BOOSTED], 4)
+    context = spark.sparkContext
+    context.setJobGroup("search", "a search", interruptOnCancel=True)
+    timer = threading.Timer(8, lambda: context.cancelJobGroup("search"))
+    timer.start()
+    began = time.time()
+    try:
+        with pytest.raises(Exception, match="(?i)cancel"):
+            training.random_search_cv(training.BOOSTED, training.fold_pairs(ready), ready, settings)
+    finally:
+        timer.cancel()
+        context._jsc.clearJobGroup()
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("query, name", [("random_search_forest", training.FOREST), ("random_search_boosted", training.BOOSTED)])
 def test_trees_are_refitted_with_the_best_draw(spark, monkeypatch, query, name):
     monkeypatch.setattr(training, "SEARCH_SPACES", {**training.SEARCH_SPACES, **SMALL})
