@@ -13,6 +13,7 @@ replaced. Decoding skips null and unknown ids, and invalid UTF-8 becomes U+FFFD.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
@@ -26,10 +27,11 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter
-from outcome_risk.llm.worker import keep
+from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter, unit_memory
+from outcome_risk.llm.worker import keep, trim
 
-IDS_PER_BATCH = 1 << 20
+BATCH_BYTES = 1 << 19  # of ids that are put out together
+IDS_AT_ONCE = 1 << 19  # that are shown together; a longer text is shown in parts
 PAIRS_KEPT = 200_000
 PIECES_KEPT = 50_000
 SHORT = 32
@@ -72,6 +74,15 @@ class Vocabulary:
             if len(text) == 1 and number not in self.parts:
                 self.bytes[text[0]] = number
         self.table: dict[int, bytes] = {}
+        largest = max([*self.text, *self.special.values()], default=0)
+        #: Array type of the narrowest width that holds every id.
+        self.id_kind = "H" if largest < 1 << 16 else "I"
+        #: By id: rank of its merge (-1: none) and its two parts; by pair of ids: rank of their merge.
+        self.width = largest + 1
+        self.rank, self.left, self.right = ([-1] * self.width for _ in range(3))
+        for made, (rank, left, right) in self.parts.items():
+            self.rank[made], self.left[made], self.right[made] = rank, left, right
+        self.pair_rank = {left * self.width + right: rank for (left, right), (rank, _) in self.merges.items()}
         #: Strings that alone encode as one token, proven by merging each of them.
         self.whole = {text: number for number, text in self.text.items() if self.merge(text) == [number]}
 
@@ -151,19 +162,64 @@ class Vocabulary:
         pieces that ever met at the border; none may merge before its own outer merge.
         On equal ranks the left place goes first.
         """
-        limit = (len(self.merges), 0)
+        rank, width, found = self.rank, self.width, self.pair_rank.get
+        limit, right_side = len(self.merges), False
         while True:
-            found = self.merges.get((left, right))
-            if found is not None and (found[0], 0) < limit:
+            met = found(left * width + right, limit + 1)
+            if met < limit or (met == limit and right_side):
                 return False
-            rank_left = self.parts[left][0] if left in self.parts else -1
-            rank_right = self.parts[right][0] if right in self.parts else -1
-            if rank_left < 0 and rank_right < 0:
-                return True
+            rank_left, rank_right = rank[left], rank[right]
             if rank_left > rank_right:
-                limit, left = (rank_left, 0), self.parts[left][2]
+                limit, right_side, left = rank_left, False, self.right[left]
+            elif rank_right >= 0:
+                limit, right_side, right = rank_right, True, self.left[right]
             else:
-                limit, right = (rank_right, 1), self.parts[right][1]
+                return True
+
+
+class Ragged:
+    """Byte strings by number, put together for whole arrays of numbers."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of the numbers on end, and where each of them ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        return self.flat[places], ends
+
+
+class Shown:
+    """Digests of ids as decimal text, and of the text that they stand for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        table = {number: s.encode("utf-8") for s, number in vocabulary.special.items()} | vocabulary.text
+        self.decimal = Ragged([b"%d," % i for i in range(vocabulary.width)])
+        self.text = Ragged([table.get(i, b"") for i in range(vocabulary.width)])
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, str]]:
+        """Of documents whose ids end at ``ends``, together few enough to be shown at once."""
+        (decimal, at), (raw, to) = self.decimal.take(ids), self.text.take(ids)
+        decimal, raw = decimal.tobytes(), raw.tobytes()
+        at, to = (np.concatenate([[0], x])[np.concatenate([[0], ends])].tolist() for x in (at, to))
+        for i in range(len(ends)):
+            told = decimal[at[i] : max(at[i], at[i + 1] - 1)]
+            text = raw[to[i] : to[i + 1]].decode("utf-8", "replace")
+            yield hashlib.sha256(told).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+    def long_digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """Of one document, a bounded number of ids at once."""
+        told, text, decoder = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for start in range(0, len(ids), IDS_AT_ONCE):
+            some = ids[start : start + IDS_AT_ONCE]
+            last = start + len(some) == len(ids)
+            told.update(self.decimal.take(some)[0].tobytes()[: -1 if last else None])
+            text.update(decoder.decode(self.text.take(some)[0].tobytes(), last).encode("utf-8"))
+        return told.hexdigest(), text.hexdigest()
 
 
 class Encoder:
@@ -177,22 +233,35 @@ class Encoder:
             self.matches.add_word(text.decode("latin-1"), (len(text), number))
         self.matches.make_automaton()
         self.length = {number: len(text) for text, number in vocabulary.whole.items()}
-        self.width = 1 + max(vocabulary.text, default=0)
-        self.apart = Remembered(
-            lambda key: vocabulary.stay_apart(*divmod(key, self.width)), PAIRS_KEPT
-        )
+        self.width, self.kind = vocabulary.width, vocabulary.id_kind
+        #: Whether two tokens stay apart, for pairs met since it was last emptied.
+        self.apart: dict[int, bool] = {}
         self.pieces = Remembered(lambda token: self.piece(token.encode("utf-8")), PIECES_KEPT)
-        self.first = Remembered(self.unit)
-        self.rest = Remembered(lambda key: self.unit(" " + key))
+        self.memory = unit_memory(self.unit)
+        self.shown = Shown(vocabulary)
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
+        if (alone := self.vocabulary.whole.get(piece)) is not None:
+            return [alone]
         last = [-1] * (len(piece) + 1)
-        apart, width = self.apart, self.width
+        known, width, stay_apart = self.apart, self.width, self.vocabulary.stay_apart
+        answer = known.get
         for end, (length, token) in self.matches.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] < 0 and (length == end or apart[last[end - length] * width + token]):
-                last[end] = token
+            if last[end] >= 0:
+                continue
+            if length < end:
+                left = last[end - length]
+                pair = left * width + token
+                apart = answer(pair)
+                if apart is None:
+                    apart = known[pair] = stay_apart(left, token)
+                if not apart:
+                    continue
+            last[end] = token
+        if len(known) > PAIRS_KEPT:
+            known.clear()
         ids, at = [], len(piece)
         while at:
             ids.append(last[at])
@@ -200,7 +269,7 @@ class Encoder:
         return ids[::-1]
 
     def unit(self, unit: str) -> bytes:
-        """Ids of an independent piece of text, as 32-bit numbers."""
+        """Ids of an independent piece of text, in the vocabulary's width."""
         ids: list[int] = []
         special = self.vocabulary.special
         for part in self.cut(unit):
@@ -209,11 +278,16 @@ class Encoder:
             else:
                 for token in PRETOKEN.findall(part):
                     ids.extend(self.pieces[token])
-        return array("I", ids).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as 32-bit numbers."""
-        return b"".join(lookup(text, self.first, self.rest)) if text else b""
+        """Ids of a whole text, in the vocabulary's width."""
+        return b"".join(lookup(text, self.memory)) if text else b""
+
+    def ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of encoded texts on end, and where each text's end."""
+        ids = np.frombuffer(b"".join(parts), dtype=self.kind)
+        return ids, np.cumsum([len(p) for p in parts]) // ids.itemsize
 
 
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
@@ -246,19 +320,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
             start, parts, count = 0, [], 0
             for i, value in enumerate(texts):
                 parts.append(encoder.encode(value.as_py()))
-                count += len(parts[-1]) // 4
-                if count >= IDS_PER_BATCH or i + 1 == len(texts):
-                    yield _with_lists(batch.slice(start, i + 1 - start), kept, ids, parts)
+                count += len(parts[-1])
+                if count >= BATCH_BYTES or i + 1 == len(texts):
+                    yield _with_lists(batch.slice(start, i + 1 - start), kept, ids, *encoder.ids(parts))
                     start, parts, count = i + 1, [], 0
 
     return df.mapInArrow(run, schema)
 
 
-def _with_lists(batch: pa.RecordBatch, kept: list[str], name: str, parts: list[bytes]) -> pa.RecordBatch:
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    values = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+def _with_lists(batch: pa.RecordBatch, kept: list[str], name: str, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
     columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
     return pa.RecordBatch.from_arrays([*columns, lists], names=[*kept, name])
 
@@ -293,16 +365,29 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = schema.add("n_tokens", T.LongType()).add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, encoder = shared.value, encoder_of(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
-            counts, digests, decoded = [], [], []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                ids = np.frombuffer(encoder.encode(value.as_py()), dtype=np.uint32).tolist()
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(vocabulary.decode(ids).encode("utf-8")).hexdigest())
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
+            parts, size, start = [], 0, 0
+            texts = batch.column(batch.schema.get_field_index(text))
+            for i, value in enumerate(texts):
+                parts.append(encoder.encode(value.as_py()))
+                size += len(parts[-1])
+                if size >= BATCH_BYTES or i + 1 == len(texts):
+                    yield _digested(encoder, batch.slice(start, i + 1 - start), kept, added, parts)
+                    parts, size, start = [], 0, i + 1
+        trim()
 
     return df.mapInArrow(run, schema)
+
+
+def _digested(encoder: Encoder, batch: pa.RecordBatch, kept: list[str], added: tuple, parts: list[bytes]) -> pa.RecordBatch:
+    ids, ends = encoder.ids(parts)
+    if len(ids) > IDS_AT_ONCE:
+        starts = np.concatenate([[0], ends[:-1]])
+        digests = [encoder.shown.long_digests(ids[a:b]) for a, b in zip(starts, ends)]
+    else:
+        digests = list(encoder.shown.digests(ids, ends))
+    told, text = zip(*digests)
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+    columns += [pa.array(np.diff(ends, prepend=0)), pa.array(told, pa.string()), pa.array(text, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[*kept, *added])

@@ -1,18 +1,23 @@
-"""Benchmark passages in documents, by winnowing.
+"""Benchmark passages in documents, by winnowing and a join.
 
 Words are lower-cased runs of letters and digits. A window is ten consecutive words of a
-benchmark item, or a whole shorter item. Documents and items are cut into five-word
-grams; of every six neighbouring grams the smallest hash is kept as a fingerprint, on both
-sides alike, so any ten words in common have a common fingerprint. Hits are extended: the
-windows around a hit are compared as a whole, and each word of a matching window is hit.
-Items of fewer than ten words are matched as a whole wherever their length fits.
-
-The benchmark goes to the tasks in blocks of bounded size; more blocks mean more passes
-over the rows inside the same stage, never a larger broadcast.
+benchmark item, or a whole shorter item. Documents and items are cut into five-word grams;
+of the six neighbouring grams in a window the smallest hash is the window's fingerprint, on
+both sides alike, so equal windows have equal fingerprints. The fingerprints of both sides
+are joined, and a hit is extended at once: the rows that meet carry the hash of the whole
+window, and its words are hit if these agree, too. A shorter item is its own fingerprint and
+window; documents are searched for it at every place.
+
+Both sides are read in tasks. Of the items only a filter of fixed size goes to the driver, two
+megabytes at most, so that documents send no fingerprint that is surely none of the
+benchmark's. What passes it is joined in full; Catalyst picks the join by stored sizes, and
+a hot fingerprint can be split.
 
 Null and empty texts have no words and no hits, on both sides. Repeated documents are
 scored alike. Items that repeat count once per ``item_id``; a null ``item_id`` hits words
-but is not listed. Other columns of the documents stay as they are.
+but is not listed. Other columns of the documents stay as they are, those named like a result
+are replaced. An empty benchmark hits nothing; no documents give no rows. Texts are read in
+slices of words, whatever their length.
 """
 
 from __future__ import annotations
@@ -25,129 +30,131 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outcome_risk.llm.bpe import schema_with
+from outcome_risk.llm.storage import write_table
 from outcome_risk.llm.textscan import ALPHANUMERIC, gram_hashes, text_slices, words_of
+from outcome_risk.llm.worker import trim
 
 WINDOW = 10
 GRAM = 5
-BLOCK_WORDS = 2_000_000
-FILTER_BITS = 24
-
-
-class Windows:
-    """Windows of one block of items: their fingerprints, and which items hold them."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        self.names = sorted({name for name, _ in items if name is not None})
-        number = {name: i for i, name in enumerate(self.names)}
-        prints: list[np.ndarray] = []
-        sized: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for name, text in items:
-            own = number.get(name, -1)
-            column = pa.array([text], pa.string())
-            hashes = np.concatenate([words_of(d, o, ALPHANUMERIC).hashes for _, d, o in text_slices(column)])
-            size = min(window, len(hashes))
-            if size:
-                sized.setdefault(size, []).append((gram_hashes(hashes, size), own))
-            if size == window:
-                grams = gram_hashes(hashes, gram)
-                prints.append(grams[winnow_texts(grams, np.array([0, len(hashes)]), window, gram)])
-        #: By window length: sorted hashes, and the items of each (several may share one).
-        self.sizes = {}
-        for size, found in sized.items():
-            hashes = np.concatenate([h for h, _ in found])
-            owners = np.concatenate([np.full(len(h), own) for h, own in found])
-            pairs = np.unique(np.stack([hashes, owners.astype(np.int64).view(np.uint64)]), axis=1)
-            self.sizes[size] = (pairs[0], pairs[1].view(np.int64))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self.prints >> np.uint64(64 - FILTER_BITS)] = True
-
-    def marked(self, grams: np.ndarray) -> np.ndarray:
-        """Places of grams that are fingerprints of the block."""
-        maybe = np.flatnonzero(self.filter[grams >> np.uint64(64 - FILTER_BITS)])
-        return maybe[np.isin(grams[maybe], self.prints)]
-
-    def matches(self, hashes: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows of ``size`` words that begin at ``starts`` and match."""
-        keys, owners = self.sizes[size]
-        wanted = hashes[starts]
-        low = np.searchsorted(keys, wanted, side="left")
-        high = np.searchsorted(keys, wanted, side="right")
-        reps = high - low
-        rows = np.repeat(np.arange(len(starts)), reps)
-        offset = np.arange(len(rows)) - np.repeat(np.cumsum(reps) - reps, reps)
-        return starts[rows], owners[low[rows] + offset]
-
-
-def _scan(hashes: np.ndarray, first: np.ndarray, block: Windows) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, starts, lengths, items) of the windows found in the texts of one slice."""
-    window, gram = block.window, block.gram
-    text_of = lambda at: np.searchsorted(first, at, side="right") - 1
-    starts, lengths, items = [], [], []
-    if len(block.prints):
-        grams = gram_hashes(hashes, gram)
-        kept = winnow_texts(grams, first, window, gram)
-        at = kept[block.marked(grams[kept])]
-        if len(at):
-            around = (at[:, None] - np.arange(window - gram + 1)[None, :]).ravel()
-            around = np.unique(around[around >= 0])
-            around = around[around + window <= len(hashes)]
-            around = around[text_of(around) == text_of(around + window - 1)]
-            s, i = block.matches(gram_hashes(hashes, window), window, around)
-            starts.append(s), lengths.append(np.full(len(s), window)), items.append(i)
-    for size in block.sizes:
-        if size < window:
-            found = gram_hashes(hashes, size)
-            at = np.flatnonzero(np.isin(found, block.sizes[size][0]))
-            at = at[text_of(at) == text_of(at + size - 1)]
-            s, i = block.matches(found, size, at)
-            starts.append(s), lengths.append(np.full(len(s), size)), items.append(i)
-    if not starts or not sum(map(len, starts)):
-        return []
-    start, length, item = map(np.concatenate, (starts, lengths, items))
-    texts = text_of(start)
-    order = np.argsort(texts, kind="stable")
-    cuts = np.flatnonzero(np.diff(texts[order])) + 1
-    return [(int(texts[g[0]]), start[g] - first[texts[g[0]]], length[g], item[g]) for g in np.split(order, cuts)]
-
-
-def winnow_texts(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Winnowed places of all texts; windows that cross a text's end are left out."""
+FILTER_BITS = 24  # of a hash that the filter looks at
+
+WINDOWS = "size int, print long, window long"
+_FOUND = T.ArrayType(
+    T.StructType().add("start", T.IntegerType()).add("size", T.IntegerType()).add("print", T.LongType()).add("window", T.LongType())
+)
+
+
+def fingerprints(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows begin that do not cross a text's end, and the smallest gram hash of each."""
     span = window - gram + 1
     count = len(grams) - span + 1
     if count <= 0:
-        return np.zeros(0, dtype=np.int64)
-    low, at = grams[:count].copy(), np.zeros(count, dtype=np.int8)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    low = grams[:count].copy()
     for j in range(1, span):
-        other = grams[j : j + count]
-        better = other <= low
-        low[better] = other[better]
-        at[better] = j
+        np.minimum(low, grams[j : j + count], out=low)
     inside = np.ones(count, dtype=bool)
     # windows start in one text and end, ``window`` words later, in the same one
     for step in range(1, window):
         ends = first[1:] - step
         inside[ends[(ends >= 0) & (ends < count)]] = False
-    kept = np.zeros(len(grams), dtype=bool)
-    kept[(np.arange(count) + at)[inside]] = True
-    return np.flatnonzero(kept)
-
-
-def item_blocks(benchmark: DataFrame, item: str, text: str, words: int) -> Iterator[list[tuple]]:
-    """Items in blocks of at most about ``words`` words, one row at least."""
-    block, total = [], 0
-    rows = benchmark.select(F.col(f"`{item}`").cast("string"), F.col(f"`{text}`"))
-    for name, body in rows.toLocalIterator():
-        size = (len(body) if body else 0) // 5 + 1
-        if block and total + size > words:
-            yield block
-            block, total = [], 0
-        block.append((name, body))
-        total += size
-    if block:
-        yield block
+    starts = np.flatnonzero(inside)
+    return starts, low[starts]
+
+
+def _item_windows(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0)
+            for at, data, offsets in text_slices(batch.column(1)):
+                words = words_of(data, offsets, ALPHANUMERIC)
+                for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+                    hashes, size = words.hashes[a:b], min(window, b - a)
+                    if not size:
+                        continue
+                    whole = gram_hashes(hashes, size)
+                    prints = whole
+                    if size == window:
+                        starts, prints = fingerprints(gram_hashes(hashes, gram), np.array([0, b - a]), window, gram)
+                        whole = whole[starts]
+                    pairs = np.unique(np.stack([prints, whole]), axis=1).view(np.int64)
+                    count = pairs.shape[1]
+                    columns = [
+                        pa.array([names[at + i].as_py()] * count, pa.string()),
+                        pa.array(np.full(count, size, dtype=np.int32)),
+                        pa.array(pairs[0]),
+                        pa.array(pairs[1]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "size", "print", "window"])
+
+    return run
+
+
+def item_windows(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, gram: int = GRAM
+) -> DataFrame:
+    """Stored distinct ``item, size, print, window`` of all benchmark items, hashes as signed numbers."""
+    narrow = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text"))
+    found = narrow.mapInArrow(_item_windows(window, gram), f"item string, {WINDOWS}")
+    return write_table(found.distinct(), "benchmark-windows")
+
+
+def print_filter(items: DataFrame, bits: int) -> np.ndarray:
+    """For each value of a fingerprint's first ``bits`` bits, whether an item has it.
+
+    Gathered as at most ``2 ** bits / 64`` whole numbers.
+    """
+    bucket = F.shiftrightunsigned("print", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int"))
+    rows = items.groupBy(F.shiftrightunsigned(bucket, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    words = np.zeros(max(1, (1 << bits) // 64), dtype=np.int64)
+    for row in rows:
+        words[row["word"]] = row["bits"]
+    return words
+
+
+def _scan(shared, sizes: list[int], text: str, names: list[str], window: int, gram: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
+        shift = np.uint64(64 - bits)
+        for batch in batches:
+            column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+            counts, ends, found = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64), []
+            for at, data, offsets in text_slices(column[text]):
+                words = words_of(data, offsets, ALPHANUMERIC)
+                own = slice(at, at + len(offsets) - 1)
+                counts[own] = np.diff(words.first)
+                parts = []
+                for size in sizes:
+                    whole = gram_hashes(words.hashes, size)
+                    if size == window:
+                        starts, prints = fingerprints(gram_hashes(words.hashes, gram), words.first, window, gram)
+                    else:
+                        starts, prints = np.arange(len(whole)), whole
+                    kept = held[prints >> shift]
+                    starts, prints = starts[kept], prints[kept]
+                    row = np.searchsorted(words.first, starts, side="right") - 1
+                    within = starts + size <= words.first[row + 1]
+                    row, starts, prints = row[within], starts[within], prints[within]
+                    parts.append((row, starts - words.first[row], np.full(len(row), size), prints, whole[starts]))
+                if parts:
+                    row, start, size, prints, whole = (np.concatenate(p) for p in zip(*parts))
+                    order = np.argsort(row, kind="stable")
+                    ends[own] = np.bincount(row, minlength=len(offsets) - 1)
+                    found.append([x[order] for x in (start, size, prints.view(np.int64), whole.view(np.int64))])
+            start, size, prints, whole = (np.concatenate(p) for p in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+            places = pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32))
+            values = pa.StructArray.from_arrays(
+                [pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(prints), pa.array(whole)],
+                names=["start", "size", "print", "window"],
+            )
+            column["n_words"] = pa.array(counts)
+            column["_found"] = pa.ListArray.from_arrays(places, values)
+            yield pa.RecordBatch.from_arrays([column[n] for n in names], names=names)
+        del held
+        trim()
+
+    return run
 
 
 def find_passages(
@@ -157,51 +164,26 @@ def find_passages(
     item: str = "item_id",
     window: int = WINDOW,
     gram: int = GRAM,
-    block_words: int = BLOCK_WORDS,
     keep_text: bool = True,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Add ``n_words``, ``spans`` (array of [first word, words]) and ``items`` (sorted ids)."""
     spark = df.sparkSession
-    span = T.ArrayType(T.ArrayType(T.IntegerType()))
-    result = df.drop("n_words", "spans", "items").select(
-        "*",
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast(span).alias("spans"),
-        F.lit(None).cast("array<string>").alias("items"),
+    items = item_windows(benchmark, item, text, window, gram)
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # of 1 to ``window``
+    shared = spark.sparkContext.broadcast(print_filter(items, filter_bits))
+    base = df.drop("n_words", "spans", "items", "_found").withColumn("_row", F.monotonically_increasing_id())
+    schema = T.StructType([f for f in base.schema.fields if keep_text or f.name != text])
+    schema = schema.add("n_words", T.LongType()).add("_found", _FOUND)
+    scan = _scan(shared, sizes, text, schema.names, window, gram, filter_bits)
+    packed = write_table(base.mapInArrow(scan, schema), "benchmark-documents")
+    hits = packed.select("_row", F.inline("_found")).join(items, ["size", "print", "window"])
+    marks = hits.groupBy("_row").agg(
+        F.collect_set(F.array("start", "size")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
     )
-    blocks = [spark.sparkContext.broadcast(Windows(b, window, gram)) for b in item_blocks(benchmark, item, text, block_words)]
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Windows([], window, gram))]
-    for number, block in enumerate(blocks):
-        last = number + 1 == len(blocks)
-        drop = () if keep_text or not last else (text,)
-        schema = schema_with(result, "items", T.ArrayType(T.StringType()), drop)
-        result = result.mapInArrow(_pass(block, text, [f.name for f in schema.fields]), schema)
-    return result
-
-
-def _pass(block, text: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = block.value
-        for batch in batches:
-            column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            spans, items = column["spans"].to_pylist(), column["items"].to_pylist()
-            counts = np.zeros(batch.num_rows, dtype=np.int64)
-            for at, data, offsets in text_slices(column[text]):
-                words = words_of(data, offsets, ALPHANUMERIC)
-                counts[at : at + len(offsets) - 1] = np.diff(words.first)
-                for number, starts, lengths, owners in _scan(words.hashes, words.first, windows):
-                    row = at + number
-                    found = np.unique(np.stack([starts, lengths], axis=1), axis=0).tolist()
-                    own = {windows.names[i] for i in np.unique(owners).tolist() if i >= 0}
-                    spans[row] = (spans[row] or []) + found
-                    items[row] = sorted(own.union(items[row] or []))
-            column["n_words"] = pa.array(counts)
-            column["spans"] = pa.array(spans, pa.list_(pa.list_(pa.int32())))
-            column["items"] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([column[n] for n in names], names=names)
-
-    return run
+    # written, so that the join goes by the true size of these few rows
+    marks = write_table(marks, "benchmark-hits")
+    return packed.drop("_found").join(marks, "_row", "left").drop("_row")
 
 
 def hit_words(spans: F.Column) -> F.Column:

@@ -1,8 +1,9 @@
 """How the sources of a language differ: exact triangular divergence of their term shares.
 
-``CountVectorizer`` learns one vocabulary over terms that carry their language, so a term
+``CountVectorizer`` learns the vocabulary over terms marked by their language, so a term
 must be in ``MIN_DOCS`` documents of its language and no vocabulary is capped. Its sparse
-document vectors are summed per source within each task, then across tasks. Pairs of
+document vectors, made by the same vocabulary in the tasks that read the texts (from Spark's own
+vectors they would have to cross from the JVM once more), are summed per source within each task, then across tasks. Pairs of
 sources are evaluated sparsely: with ``f`` the divergence of two shares and a zero for the
 share of a term that a source lacks,
 
@@ -25,12 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcome_risk.llm.ctw import merged
 from outcome_risk.llm.storage import write_table
+from outcome_risk.llm.textscan import LOWER, text_slices
+from outcome_risk.llm.worker import keep, trim
 
 # Documents that a kept term is in, scale of a share, terms listed per source.
 MIN_DOCS = 10
@@ -38,61 +43,106 @@ SCALE = 1_000_000_000
 TOP_TERMS = 10
 UNLIMITED = 2**31 - 1
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-MARK = "\x00"  # between a language and a term, which never holds it
-PENDING = 4_000_000  # vector entries, or cells of pairs, that a task holds before it sends them
+#: Bytes of a term of a lower-cased text: a-z and all beyond ASCII.
+TERM = np.zeros(256, dtype=bool)
+TERM[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+MARKS = 60  # languages that one vocabulary tells apart, by a byte before each term that no term holds
+PENDING = 3_000_000  # vector entries, or cells of pairs, that a task holds before it sends them
 CELLS = 2_000_000  # shares that are compared at once
 
 
-def terms(text: str) -> Column:
-    """Runs of letters (and all beyond ASCII) of a text, A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+def marked_terms(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> pa.ListArray:
+    """The terms of texts, A-Z lower-cased, each behind the byte that marks its text's language."""
+    texts = len(offsets) - 1
+    begins = offsets + np.arange(texts + 1)  # with a byte before each text, so that every term has one
+    own = np.ones(begins[-1], dtype=bool)
+    own[begins[:-1]] = False
+    padded = np.zeros(len(own), dtype=np.uint8)
+    padded[own] = LOWER[data]
+    inside = np.zeros(len(own) + 1, dtype=bool)
+    inside[:-1] = TERM[padded]
+    before = np.zeros(len(own) + 1, dtype=bool)
+    before[1:] = inside[:-1]
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    first = np.searchsorted(starts, begins)
+    padded[starts - 1] = np.repeat(marks, np.diff(first))
+    taken = inside[:-1]
+    taken[starts - 1] = True
+    places = np.concatenate([[0], np.cumsum(ends - starts + 1)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(padded[taken]))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), words)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Slices of ``mark, name, text`` rows with their marked terms."""
+    for batch in batches:
+        marks = batch.column(0).to_numpy().astype(np.uint8)
+        for first, data, offsets in text_slices(batch.column(2)):
+            own = batch.slice(first, len(offsets) - 1)
+            yield own, marked_terms(data, offsets, marks[first : first + own.num_rows])
+
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own, terms in _batches(batches):
+        yield pa.RecordBatch.from_arrays([own.column(1), terms], names=["name", "terms"])
+    trim()
 
-def count_vectors(docs: DataFrame) -> tuple[DataFrame, CountVectorizerModel]:
-    """``docs`` with sparse exact counts of the kept terms of each document's language."""
-    spark = docs.sparkSession
-    own = F.transform(terms("text"), lambda t: F.concat("lang", F.lit(MARK), t))
-    marked = docs.select("lang", "source", own.alias("terms"))
+
+def fit_vocabulary(marked: DataFrame) -> CountVectorizerModel:
+    """The vocabulary of all terms in ``MIN_DOCS`` documents of their language, of ``mark, name, text`` rows."""
+    found = marked.mapInArrow(_terms, "name long, terms array<string>").select("terms")
     # a term of no language in enough documents, as a vocabulary must not be empty
-    never_empty = spark.range(MIN_DOCS).select(F.array(F.lit("")).alias("terms"))
+    never_empty = marked.sparkSession.range(MIN_DOCS).select(F.array(F.lit("")).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=UNLIMITED)
-    model = counter.fit(marked.select("terms").unionByName(never_empty))
-    return model.transform(marked).select("lang", "source", "vector"), model
+    return counter.fit(found.unionByName(never_empty))
 
 
-def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the vectors per group; at most ``PENDING`` entries wait."""
-    groups: dict[tuple[str, str], list[np.ndarray]] = {}
-    waiting = 0
+class Vectors:
+    """Sparse exact count vectors of documents under a vocabulary, as CountVectorizer's model gives them."""
 
-    def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), parts in groups.items():
-            indices, counts = (np.concatenate(p) for p in zip(*parts))
-            kept, at = np.unique(indices, return_inverse=True)
-            sums = np.bincount(at, weights=counts, minlength=len(kept)).astype(np.int64)
-            names = [pa.array([name] * len(kept), pa.string()) for name in (lang, source)]
-            columns = [*names, pa.array(kept, pa.int32()), pa.array(sums)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "index", "n"])
+    def __init__(self, vocabulary: list[str]):
+        self.place = {term: i for i, term in enumerate(vocabulary) if term}
 
-    for batch in batches:
-        vectors = batch.column(2)
-        index_lists, value_lists = vectors.field("indices"), vectors.field("values")
-        offsets = index_lists.offsets.to_numpy()
-        indices, values = index_lists.values.to_numpy(), value_lists.values.to_numpy()
-        named: dict[tuple[str, str], list[int]] = {}
-        for row, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            named.setdefault(group, []).append(row)
-        for group, rows in named.items():
-            places = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
-            groups.setdefault(group, []).append((indices[places], values[places]))
-            waiting += len(places)
-        if waiting > PENDING:
-            yield from sent()
-            groups.clear()
-            waiting = 0
-    yield from sent()
+    def entries(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, index of the term) of every kept occurrence."""
+        coded = terms.values.dictionary_encode()
+        place = np.array([self.place.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        index = place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        document = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+        return document[index >= 0], index[index >= 0]
+
+
+def _sum_vectors(shared, base: int):
+    """Sums of the document vectors per group; at most ``PENDING`` entries of a task wait."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = keep("term vectors", shared.value, lambda: Vectors(shared.value))
+        size = len(shared.value)
+        groups: dict[int, int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def sent() -> pa.RecordBatch:
+            keys, sums = merged(*(np.concatenate(p) for p in zip(*parts)))
+            names = np.array(list(groups), dtype=np.int64)
+            columns = [pa.array(names[keys // size]), pa.array((keys % size + base).astype(np.int32)), pa.array(sums)]
+            return pa.RecordBatch.from_arrays(columns, names=["name", "index", "n"])
+
+        for own, terms in _batches(batches):
+            local = np.array([groups.setdefault(n, len(groups)) for n in own.column(1).to_pylist()], dtype=np.int64)
+            document, index = vectors.entries(terms)
+            found = pc.value_counts(pa.array(local[document] * size + index))
+            parts.append(tuple(found.field(f).to_numpy(zero_copy_only=False) for f in ("values", "counts")))
+            waiting += len(parts[-1][0])
+            if waiting > PENDING:
+                yield sent()
+                parts, waiting = [], 0
+                groups.clear()
+        if parts:
+            yield sent()
+        trim()
+
+    return run
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
@@ -167,28 +217,41 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
     """``lang, source, part, item, value, rank``: other sources (``pair``) and typical terms (``term``)."""
     spark = df.sparkSession
     docs = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    vectors, model = count_vectors(docs)
-    partial = vectors.mapInArrow(_sum_vectors, "lang string, source string, index int, n long")
-    counts = write_table(partial.groupBy("lang", "source", "index").agg(F.sum("n").alias("n")), "divergence-counts")
-    words = pd.DataFrame({"token": model.vocabulary}).reset_index(names="index").astype({"index": "int32"})
-    words = spark.createDataFrame(words[words["token"] != ""], "index int, token string")
-    term = F.substring_index("token", MARK, -1)
-    language = F.substring("token", F.lit(1), F.length("token") - F.length(term) - 1)
-    words = words.select("index", language.alias("lang"), term.alias("term"))
-    words = write_table(words, "divergence-terms")
-    return _parts(docs, counts, words)
-
-
-def _parts(docs: DataFrame, counts: DataFrame, words: DataFrame) -> DataFrame:
+    # groups go by a hash of their names, found to be unique below
+    named = docs.withColumn("name", F.xxhash64("lang", "source"))
+    groups = write_table(named.select("lang", "source", "name").distinct(), "divergence-names")
+    if groups.groupBy("name").count().filter("count > 1").head(1):
+        raise ValueError("two groups have one hash")
+    langs = [r["lang"] for r in groups.select("lang").distinct().orderBy("lang").collect()]
+    counts, words, base = None, None, 0
+    for start in range(0, len(langs) or 1, MARKS):
+        some = langs[start : start + MARKS]
+        mark = F.array_position(F.array(*[F.lit(x) for x in some]), F.col("lang")).cast("int")
+        marked = named.select(mark.alias("mark"), "name", "text").filter("mark > 0")
+        vocabulary = fit_vocabulary(marked).vocabulary
+        shared = spark.sparkContext.broadcast(vocabulary)
+        partial = marked.mapInArrow(_sum_vectors(shared, base), "name long, index int, n long")
+        found = write_table(partial.groupBy("name", "index").agg(F.sum("n").alias("n")), "divergence-counts")
+        shared.destroy()
+        known = [(base + i, some[ord(x[0]) - 1], x[1:]) for i, x in enumerate(vocabulary) if x]
+        terms = pd.DataFrame(known, columns=["index", "lang", "term"])
+        terms = write_table(spark.createDataFrame(terms, "index int, lang string, term string"), "divergence-terms")
+        base += len(vocabulary)
+        counts = found if counts is None else counts.unionByName(found)
+        words = terms if words is None else words.unionByName(terms)
+    return _parts(groups, counts, words)
+
+
+def _parts(names: DataFrame, counts: DataFrame, words: DataFrame) -> DataFrame:
     sizes = words.groupBy("lang").agg(F.count("*").alias("size"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     groups = (
-        docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0)
+        names.join(totals, "name", "left").join(sizes, "lang", "left").na.fill(0)
         .withColumn("g", (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("int"))
         .withColumn("p0", F.when(F.col("size") > 0, _share(F.lit(0), F.col("total"), F.col("size"))))
     )
     groups = write_table(groups, "divergence-groups")
-    shares = counts.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("size")))
+    shares = counts.join(groups, "name").withColumn("p", _share(F.col("n"), F.col("total"), F.col("size")))
     shares = write_table(shares.select("lang", "source", "g", "index", "n", "p", "p0", "total", "size"), "divergence-shares")
 
     whole = shares.groupBy("index").agg(F.sum("n").alias("all_n"))

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outcome_risk.llm.storage import write_table
-from outcome_risk.llm.worker import keep
+from outcome_risk.llm.worker import keep, trim
 
 UND = "und"
 LEVEL = 6
@@ -201,6 +201,7 @@ def identify(
                 pa.array(rejected, pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+        trim()
 
     return base.mapInArrow(run, schema)
 

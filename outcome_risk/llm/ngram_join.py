@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from outcome_risk.llm.components import components
 from outcome_risk.llm.storage import read_parts, write_parts, write_table
 from outcome_risk.llm.textscan import SPACED, gram_hashes, mix, text_slices, words_of
-from outcome_risk.llm.worker import release
+from outcome_risk.llm.worker import release, trim
 
 SIZE = 5
 PERCENT = 75
-GROUP_GRAMS = 1_000_000
+GROUP_GRAMS = 600_000
 GROUP_ROWS = 60_000
 FRAGMENT_GRAMS = 1_000_000
 VERIFY_FRAGMENTS = 4
@@ -178,6 +178,8 @@ def _segments(df: DataFrame, size: int, fragments: int) -> DataFrame:
                     group, group_id = _Group(), group_id + 1
         if group.ids:
             yield _packed_batch(list(group.rows(group_id, fragments)))
+        del group
+        trim()
 
     return df.mapInArrow(run, PACKED)
 
@@ -234,6 +236,7 @@ def _coded(rest: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _candidates(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Documents of one group, and its sets that share enough n-grams to link."""
+        trim()
         meta = frame[frame["fragment"] == -1].iloc[0]
         count = len(meta["low"]) // 16
         ids = np.frombuffer(meta["high"], "<i8", count)

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outcome_risk.llm.bpe import Vocabulary, broadcast_vocabulary, schema_with
-from outcome_risk.llm.pretokens import PRETOKEN, Remembered, lookup, special_splitter
+from outcome_risk.llm.pretokens import PRETOKEN, lookup, special_splitter, unit_memory
 from outcome_risk.llm.worker import keep
 
 LIMIT = 1024
+UNITS_KEPT = 250_000  # some 130 bytes each, in two generations
 
 
 class Counter:
@@ -29,8 +30,7 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.cut = special_splitter(vocabulary.special)
-        self.first = Remembered(self.unit)
-        self.rest = Remembered(lambda key: self.unit(" " + key))
+        self.memory = unit_memory(self.unit, UNITS_KEPT)
         self.merges = vocabulary.ranked().encode_ordinary
 
     def unit(self, unit: str) -> int:
@@ -45,7 +45,7 @@ class Counter:
         return total
 
     def count(self, text: str | None) -> int:
-        return sum(lookup(text, self.first, self.rest)) if text else 0
+        return sum(lookup(text, self.memory)) if text else 0
 
 
 def counter_of(vocabulary: Vocabulary) -> Counter:

@@ -33,12 +33,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outcome_risk.llm.bpe import Encoder, Vocabulary, broadcast_vocabulary
-from outcome_risk.llm.pretokens import Remembered, lookup, special_splitter
+from outcome_risk.llm.pretokens import lookup, special_splitter, unit_memory
 from outcome_risk.llm.worker import keep
 from outcome_risk.llm.storage import write_table
 from outcome_risk.llm.textscan import mix
 
 END_ID = 0
+UNITS_KEPT = 250_000  # some 160 bytes each, in two generations
 SHARD_IDS = 1 << 20
 GAMMA = 2
 NULL_KEY = np.uint64(0x6A09E667F3BCC909)
@@ -55,19 +56,23 @@ class RankedEncoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.special = vocabulary.special
+        self.kind = vocabulary.id_kind
         self.cut = special_splitter(vocabulary.special)
         self.ranked = vocabulary.ranked().encode_ordinary
-        self.first = Remembered(self.unit)
-        self.rest = Remembered(lambda key: self.unit(" " + key))
+        self.memory = unit_memory(self.unit, UNITS_KEPT)
 
     def unit(self, unit: str) -> bytes:
+        parts = self.cut(unit)
+        if len(parts) == 1 and unit not in self.special:
+            return array(self.kind, self.ranked(unit)).tobytes()
         ids: list[int] = []
-        for part in self.cut(unit):
+        for part in parts:
             ids.extend([self.special[part]] if part in self.special else self.ranked(part))
-        return array("I", ids).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(lookup(text, self.first, self.rest)) if text else b""
+        """Ids of a whole text, in the vocabulary's width."""
+        return b"".join(lookup(text, self.memory)) if text else b""
 
 
 def _encoder(vocabulary: Vocabulary) -> RankedEncoder | Encoder:
@@ -120,9 +125,7 @@ def find_slots(levels: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
 def _shard_row(number: int, part: int, keys: list, payload: list[bytes], width: int) -> dict:
     nulls = np.array([k is None for k in keys], dtype=bool)
     numbers = np.array([0 if k is None else k for k in keys], dtype=np.int64)
-    kind = "<u2" if width == 2 else "<u4"
-    ids = np.frombuffer(b"".join(payload), dtype=np.uint32)
-    ends = np.cumsum([len(p) // 4 for p in payload]).astype("<i8")
+    ends = np.cumsum([len(p) // width for p in payload]).astype("<i8")
     hashes = key_hashes(numbers, nulls)
     distinct, places, repeats = np.unique(hashes, return_index=True, return_counts=True)
     levels = build_levels(distinct)
@@ -135,8 +138,8 @@ def _shard_row(number: int, part: int, keys: list, payload: list[bytes], width:
         "first_key": first,
         "last_key": last,
         "width": width,
-        "n_ids": len(ids),
-        "payload": ids.astype(kind).tobytes(),
+        "n_ids": int(ends[-1]),
+        "payload": b"".join(payload),
         "levels": [np.packbits(level).tobytes() for level in levels],
         "prints": _fingerprints(distinct[order]).tobytes(),
         "places": places[order].astype("<i8").tobytes(),
@@ -162,10 +165,9 @@ def write_tokens(
     cut over key and text together, so a key with very many rows spreads too.
     """
     shared = broadcast_vocabulary(df.sparkSession, path)
-    end = array("I", [end_id]).tobytes()
-    vocabulary = shared.value
-    largest = max([end_id, *vocabulary.text, *vocabulary.special.values()])
-    width = 2 if largest < 1 << 16 else 4
+    kind = shared.value.id_kind
+    end = array(kind, [end_id]).tobytes()
+    width = array(kind).itemsize
     schema = pa.schema(
         [
             (f.name, {"binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64()}.get(f.dataType.simpleString(), pa.list_(pa.binary())))
@@ -183,7 +185,7 @@ def write_tokens(
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(k)
                 payload.append(encoder.encode(value.as_py()) + end)
-                count += len(payload[-1]) // 4
+                count += len(payload[-1]) // width
                 if count >= shard_ids:
                     yield pa.RecordBatch.from_pylist([_shard_row(number, part, keys, payload, width)], schema=schema)
                     keys, payload, count, part = [], [], 0, part + 1
@@ -259,18 +261,18 @@ def _documents(row: dict) -> pa.RecordBatch:
     change[1:] = (keys[1:] != keys[:-1]) | (nulls[1:] != nulls[:-1])
     at = np.flatnonzero(change)
     first, count = shard.rows(keys[at], nulls[at])
-    out: dict[str, list] = {"key": [], "start": [], "ids": []}
-    for i, f, n in zip(at.tolist(), first.tolist(), count.tolist()):
-        if f < 0:
-            raise ValueError("a key of the shard is missing from its index")
-        for document in range(f, f + n):
-            begin, end = shard.span(document)
-            out["key"].append(None if nulls[i] else int(keys[i]))
-            out["start"].append(row["before"] + begin)
-            out["ids"].append(shard.ids[begin:end].astype("<u4").tobytes())
+    if (first < 0).any():
+        raise ValueError("a key of the shard is missing from its index")
+    documents = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+    starts = np.concatenate([[0], shard.ends[:-1]])
+    if (documents != np.arange(len(keys))).any():
+        raise ValueError("the shard's index does not list its documents in order")
+    offsets = pa.array(np.concatenate([[0], shard.ends]) * 4, pa.int64())
+    ids = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(keys), [None, offsets.buffers()[1], pa.py_buffer(shard.ids.astype("<u4"))]
+    )
     return pa.RecordBatch.from_arrays(
-        [pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.binary())],
-        names=["key", "start", "ids"],
+        [pa.array(keys, mask=nulls), pa.array(starts + row["before"]), ids.cast(pa.binary())], names=["key", "start", "ids"]
     )
 
 

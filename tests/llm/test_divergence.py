@@ -3,6 +3,10 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from outcome_risk.llm import divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, value string, rank array<int>"
@@ -96,9 +100,29 @@ def test_empty_table(spark):
     assert divergence.source_divergence(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_vectors_hold_every_kept_term(spark):
-    docs = spark.createDataFrame([("x y y", "en", "s")] * 10 + [("x z", "en", "s")], "text string, lang string, source string")
-    vectors, model = divergence.count_vectors(docs)
-    names = model.vocabulary
-    found = [{names[i]: v for i, v in zip(r["vector"].indices, r["vector"].values)} for r in vectors.collect()]
-    assert found == [{"en\x00x": 1.0, "en\x00y": 2.0}] * 10 + [{"en\x00x": 1.0}]
+def test_vectors_are_those_of_the_fitted_model(spark):
+    texts = ["x y y", "é x", "z", ""] * 12 + ["x rare"]
+    rows = [(i % 2 + 1, i, t) for i, t in enumerate(texts)]
+    marked = spark.createDataFrame(rows, "mark int, name long, text string")
+    model = divergence.fit_vocabulary(marked)
+    found = marked.mapInArrow(divergence._terms, "name long, terms array<string>")
+    expected = {r["name"]: (r["vector"].indices.tolist(), r["vector"].values.tolist()) for r in model.transform(found).collect()}
+    vectors = divergence.Vectors(model.vocabulary)
+    for mark, name, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = divergence.marked_terms(data, np.array([0, len(data)]), np.array([mark], dtype=np.uint8))
+        counted = Counter(vectors.entries(own)[1].tolist())
+        assert (sorted(counted), [float(counted[i]) for i in sorted(counted)]) == expected[name]
+
+
+def test_more_languages_than_marks(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "MARKS", 2)
+    check(spark, [(i, "a b c", f"l{i % 5}", "st"[i // 5 % 2]) for i in range(120)])
+
+
+@given(st.lists(st.text(alphabet="aZ é日\x00\x7f@[`{9", max_size=12), min_size=1, max_size=4))
+@settings(max_examples=80, deadline=None)
+def test_terms_are_those_of_the_pattern(texts):
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = divergence.marked_terms(data, offsets, np.arange(1, len(texts) + 1, dtype=np.uint8)).to_pylist()
+    assert found == [[chr(i + 1) + t for t in terms(text)] for i, text in enumerate(texts)]
