@@ -6,8 +6,9 @@ import itertools
 import json
 import logging
 import random
+import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -159,6 +160,33 @@ def held(df: DataFrame) -> DataFrame:
     return kept.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _side_by_side(spark: SparkSession, fit, tasks: list, parallelism: int) -> None:
+    """Run all fits, or none any more once one has failed.
+
+    The threads carry the caller's job group, so cancelling it reaches every fit; the others'
+    jobs, found by a tag, are then cancelled, too.
+    """
+    tag = f"search-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+
+    def tagged(task) -> None:
+        context.addJobTag(tag)
+        fit(task)
+
+    pool = ThreadPoolExecutor(parallelism)
+    running = [pool.submit(inheritable_thread_target(spark)(tagged), task) for task in tasks]
+    try:
+        for one in as_completed(running):
+            one.result()
+    except BaseException:
+        pool.shutdown(wait=False, cancel_futures=True)
+        while not all(one.done() for one in running):
+            context.cancelJobsWithTag(tag)
+            time.sleep(0.1)
+        raise
+    pool.shutdown()
+
+
 def cut_lineage(spark: SparkSession) -> None:
     """Let learners that iterate cut their lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -201,9 +229,7 @@ def random_search_cv(
             book.add(run, name, keys[i], f, score)
             known[keys[i], f] = score
 
-        # threads that carry the caller's job group, so that cancelling it reaches every fit
-        with ThreadPoolExecutor(parallelism) as pool:
-            list(pool.map(inheritable_thread_target(spark)(fit), missing))
+        _side_by_side(spark, fit, missing, parallelism)
     finally:
         for pair in pairs.values():
             for df in pair:
