@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,27 +30,35 @@ FRACTION, OFFSET, TOP_EXPONENT = 52, 1023, 1024
 LEAST_NORMAL, LEAST_POSITIVE = 2.0**-1022, 2.0**-1074
 
 
-def ordered_bits(value: Column) -> Column:
-    """A double as a whole number of the same order; equal doubles are equal, both zeros too."""
-    size = F.abs(value)
-    guess = F.least(F.floor(F.log2(size)), F.lit(TOP_EXPONENT - 1))
-    part = size / F.pow(F.lit(2.0), guess)
+def with_bits(df: DataFrame, value: str, bits: str) -> DataFrame:
+    """Add a double as a whole number of the same order; equal doubles are equal, both zeros too.
+
+    Step by step, as each step is used several times by the next one.
+    """
+    whole = float(1 << FRACTION)
+    size, guess, part = F.col("_size"), F.col("_guess"), F.col("_part")
     # the logarithm may be off by one next to a power of two
     up, down = part >= 2.0, part < 1.0
-    exponent = F.when(up, guess + 1).when(down, guess - 1).otherwise(guess)
-    part = F.when(up, part / 2.0).when(down, part * 2.0).otherwise(part)
-    whole = float(1 << FRACTION)
-    normal = F.shiftleft(exponent.cast("long") + OFFSET, FRACTION) + ((part - 1.0) * whole).cast("long")
-    bits = (
+    staged = (
+        df.withColumn("_size", F.abs(value))
+        .withColumn("_guess", F.least(F.floor(F.log2(size)), F.lit(TOP_EXPONENT - 1)))
+        .withColumn("_part", size / F.pow(F.lit(2.0), guess))
+        .withColumn("_up", F.when(up, 1).when(down, -1).otherwise(0))
+        .withColumn("_part", F.when(up, part / 2.0).when(down, part * 2.0).otherwise(part))
+    )
+    normal = F.shiftleft(guess.cast("long") + F.col("_up") + OFFSET, FRACTION) + ((part - 1.0) * whole).cast("long")
+    staged = staged.withColumn(
+        "_bits",
         F.when(size == float("inf"), F.lit((TOP_EXPONENT + OFFSET) << FRACTION))
         .when(size < LEAST_NORMAL, (size / LEAST_POSITIVE).cast("long"))
-        .otherwise(normal)
+        .otherwise(normal),
     )
-    return F.when(value < 0, -bits).otherwise(bits)
+    signed = F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits"))
+    return staged.withColumn(bits, signed).drop("_size", "_guess", "_part", "_up", "_bits")
 
 
 def from_bits(bits: Column) -> Column:
-    """The double of a whole number made by ``ordered_bits``."""
+    """The double of a whole number made by ``with_bits``."""
     size = F.abs(bits)
     exponent = F.shiftright(size, FRACTION).cast("int")
     fraction = size.bitwiseAND(F.lit((1 << FRACTION) - 1)).cast("double")
@@ -110,15 +118,13 @@ def order_statistics(
     whole = isinstance(source.schema["v"].dataType, T.IntegralType)
     if not whole:
         source = source.withColumn("v", F.col("v").cast("double")).filter(~F.isnan("v"))
+    source = source.withColumn("bits", F.col("v").cast("long")) if whole else with_bits(source, "v", "bits")
     if not stored:
         source = write_table(source, "ranked")
-    bits = F.col("v").cast("long") if whole else ordered_bits(F.col("v"))
-    source = source.withColumn("bits", bits)
-    known = write_table(_first_pass(source, group, ranks, basics), "ranks")
+    known, largest = _stored_ranks(_first_pass(source, group, ranks, basics))
 
     shift, extra = 64 - DIGIT_BITS, ["size", *(BASICS if basics else [])]
     while True:
-        largest = known.agg(F.max("n")).first()[0]
         last = shift == DIGIT_BITS or largest is None or largest <= CELLS
         below = 0 if last else shift - DIGIT_BITS
         wanted = known.withColumnRenamed("cell", "held").drop("n")
@@ -128,7 +134,7 @@ def order_statistics(
         found = _holding(cells.join(wanted, cell), cell).drop("held")
         if last:
             break
-        known, shift = write_table(found, "ranks"), below
+        (known, largest), shift = _stored_ranks(found), below
     exact = F.col("cell") if whole else from_bits(F.col("cell"))
     each = found.select(*group, *extra, exact.alias("v"), F.explode("want.stat").alias("stat"))
     result = each.groupBy(*group).agg(
@@ -139,6 +145,13 @@ def order_statistics(
     return result if keys else result.drop("_all")
 
 
+def _stored_ranks(known: DataFrame) -> tuple[DataFrame, int | None]:
+    """The table, stored, and the rows of its largest cell, noted while it is written."""
+    noted = Observation()
+    stored = write_table(known.observe(noted, F.max("n").alias("largest")), "ranks")
+    return stored, noted.get["largest"]
+
+
 def _first_pass(source: DataFrame, group: list[str], ranks: dict, basics: bool) -> DataFrame:
     """Cells of the first digit that hold a wanted rank, with the size of their group."""
     figures = [kind("v").alias(name) for name, kind in BASICS.items()] if basics else []

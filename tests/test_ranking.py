@@ -64,7 +64,7 @@ def test_bits_keep_order_and_value(spark, values):
     edges = [0.0, -0.0, 5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, float("inf"), 0.1, 1.0]
     edges += [2.0**e for e in range(-1074, 1024, 67)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1000, 1000, 97)]
     df = spark.createDataFrame([(v,) for v in [*values, *edges, *(-v for v in edges)]], "v double")
-    rows = df.select("v", ranking.ordered_bits(F.col("v")).alias("b")).withColumn("back", ranking.from_bits(F.col("b"))).collect()
+    rows = ranking.with_bits(df, "v", "b").withColumn("back", ranking.from_bits(F.col("b"))).collect()
     assert all(r["back"] == r["v"] for r in rows)
     rows.sort(key=lambda r: r["b"])
     assert all(x["v"] < y["v"] if x["b"] < y["b"] else x["v"] == y["v"] for x, y in zip(rows, rows[1:]))
