@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,10 +146,9 @@ def order_statistics(
 
 
 def _stored_ranks(known: DataFrame) -> tuple[DataFrame, int | None]:
-    """The table, stored, and the rows of its largest cell, noted while it is written."""
-    noted = Observation()
-    stored = write_table(known.observe(noted, F.max("n").alias("largest")), "ranks")
-    return stored, noted.get["largest"]
+    """The table, stored, and the rows of its largest cell."""
+    stored = write_table(known, "ranks")
+    return stored, stored.agg(F.max("n")).first()[0]
 
 
 def _first_pass(source: DataFrame, group: list[str], ranks: dict, basics: bool) -> DataFrame:
