@@ -71,7 +71,8 @@ def drawn_settings(space: dict[str, list], draws: int, seed: int = SEED) -> list
 def estimator_for(name: str, weighted: bool = False, seed: int = SEED):
     weight = {"weightCol": "weight"} if weighted else {}
     if name == FOREST:
-        return RandomForestClassifier(labelCol="label", seed=seed, **weight)
+        # Each row's node is kept per tree, so no level walks down from the root again; the trees are the same.
+        return RandomForestClassifier(labelCol="label", seed=seed, cacheNodeIds=True, **weight)
     if name == BOOSTED:
         return GBTClassifier(labelCol="label", seed=seed, **weight)
     return LogisticRegression(

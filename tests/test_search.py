@@ -108,3 +108,14 @@ def test_trees_are_refitted_with_the_best_draw(spark, monkeypatch, query, name):
     rows = QUERIES[query](spark, SF_DIR).collect()
     assert {r["fold"] for r in rows} == {0, 1, 2}
     assert {(r["drawn"], r["best_refitted"]) for r in rows} == {(2, True)}
+
+
+def test_a_forest_keeps_the_node_of_each_row(spark):
+    """The trees are those that are grown without it."""
+    df = spark.range(0, 600, 1, 3).selectExpr("CAST(hash(id) % 5 = 0 AS INT) AS label", "rand(1) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    rows = training.learnable(df, ["a", "b"], None).cache()
+    estimator = training.estimator_for(training.FOREST).setNumTrees(4).setMaxDepth(12)
+    assert estimator.getCacheNodeIds()
+    kept, walked = (estimator.fit(rows, {estimator.cacheNodeIds: keep}).toDebugString for keep in (True, False))
+    rows.unpersist()
+    assert kept.splitlines()[1:] == walked.splitlines()[1:]
