@@ -119,3 +119,18 @@ def test_a_forest_keeps_the_node_of_each_row(spark):
     kept, walked = (estimator.fit(rows, {estimator.cacheNodeIds: keep}).toDebugString for keep in (True, False))
     rows.unpersist()
     assert kept.splitlines()[1:] == walked.splitlines()[1:]
+
+
+@pytest.mark.parametrize("name", [training.FOREST, training.BOOSTED])
+def test_the_longest_fits_begin_first(spark, monkeypatch, name):
+    df = spark.range(60).selectExpr("id % 3 AS fold", "CAST(id % 4 = 0 AS INT) AS label", "CAST(id % 8 AS DOUBLE) AS a")
+    ready = training.learnable(df, ["a"], None)
+    settings = training.drawn_settings(training.SEARCH_SPACES[name], training.DRAWS[name])
+    seen = []
+    monkeypatch.setattr(training, "_side_by_side", stopped(seen))
+    with pytest.raises(Called):
+        training.random_search_cv(name, training.fold_pairs(ready), ready, settings)
+    tasks = seen[0][0][2]
+    efforts = [training.effort(settings[i]) for i, _ in tasks]
+    assert efforts == sorted(efforts, reverse=True)
+    assert sorted(tasks) == [(i, f) for i in range(len(settings)) for f in range(3)]
