@@ -90,13 +90,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     words = F.filter(F.split("text", r"[ \n]"), lambda w: w != "")
-    counted = docs.join(labels, "doc_id").withColumn("_words", words)
     n_words = F.greatest(F.size("_words"), F.lit(1))
     chars = F.greatest(F.length("text"), F.lit(1))
-    return counted.select(
+    # Counted before the join, so that no text is shuffled.
+    counted = docs.withColumn("_words", words).select(
         "doc_id",
-        (1 - F.col("quality")).alias("bad"),
-        "toxic",
         F.length("text").cast("double").alias("n_chars"),
         F.size("_words").cast("double").alias("words"),
         (F.size(F.array_distinct("_words")) / n_words).alias("uniq"),
@@ -106,6 +104,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "source",
     )
+    return counted.join(labels, "doc_id").select(
+        "doc_id",
+        (1 - F.col("quality")).alias("bad"),
+        "toxic",
+        *TEXT_FEATURES,
+        "lang",
+        "source",
+    )
 
 
 TEXT_FEATURES = ["n_chars", "words", "uniq", "digits", "lines", "avgw"]

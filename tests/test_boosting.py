@@ -139,3 +139,27 @@ def test_random_numbers_are_those_of_the_jvm(spark, count):
     assert boosting.shift_doubles(43, count).tolist() == [jvm.nextDouble() for _ in range(count)]
     java, mine = spark._jvm.java.util.Random(-7), boosting.JavaRandom(-7)
     assert [mine.next_long() for _ in range(20)] == [java.nextLong() for _ in range(20)]
+
+
+def test_no_text_is_shuffled(spark, tmp_path):
+    """Texts are counted before they meet their labels, also where the join shuffles."""
+    from outcome_risk.plans import tables
+
+    docs = spark.createDataFrame([(i, f"a {i}  b\n{i}", "en", "web") for i in range(9)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = tables.documents(spark, str(tmp_path))
+        join = joined._jdf.queryExecution().optimizedPlan().children().head()
+        assert join.nodeName() == "Join"
+        met = join.children().head().output()
+        names = {met.apply(i).name() for i in range(met.size())}
+        found = {r["doc_id"]: r for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert names == {"doc_id", *tables.TEXT_FEATURES, "lang", "source"}
+    assert sorted(found) == list(range(8))
+    assert [found[3][c] for c in ("bad", "n_chars", "words", "uniq", "digits", "lines", "avgw")] == [0, 8.0, 4.0, 0.75, 0.25, 2.0, 2.0]
