@@ -116,6 +116,18 @@ def test_the_queries_grow_trees_in_tasks(spark, monkeypatch):
     assert {(r["drawn"], r["best_refitted"]) for r in rows} == {(2, True)}
 
 
+def test_a_whole_training_grows_trees_in_tasks(spark, monkeypatch):
+    def fit(*args, **kwargs):
+        raise AssertionError("a job for every level")
+
+    monkeypatch.setattr(training.GBTClassifier, "fit", fit)
+    df = spark.range(0, 400, 1, 2).selectExpr("id AS entity", "CAST(hash(id) % 4 = 0 AS INT) AS y", "rand(1) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    spaces = {training.BOOSTED: {"maxIter": [2], "maxDepth": [2], "subsamplingRate": [0.8]}}
+    done = training.train(df, "y", "entity", ["a", "b"], [training.BOOSTED], spaces, {training.BOOSTED: 1})
+    assert done.best == training.BOOSTED and done.status[training.BOOSTED] == "calibrated"
+    assert len(done.best_model.model.treeWeights) == 2
+
+
 def test_cancelling_ends_fits_in_tasks(spark):
     ready = table(spark, 3000)
     settings = [{**SETTINGS[1], "maxIter": 20_000, "stepSize": s} for s in (0.1, 0.2)]
